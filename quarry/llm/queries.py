@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, quality_knn, sharding, token_output
+from quarry.llm import bpe, chat, class_lm, decontaminate, exact_dedup, near_dedup, quality_knn, sharding, suffix_dedup, token_output
 from quarry.llm.common import materialise, table
 
 
@@ -36,6 +36,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
@@ -44,6 +48,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -59,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_token_output, op2_exact_dedup, op3_quality_knn, op4_near_dedup, op5_bpe, op7_sharding, op8_decontaminate, op10_chat, pipeline]
+    found = [op1_token_output, op2_exact_dedup, op3_quality_knn, op4_near_dedup, op5_bpe, op6_suffix_dedup, op7_sharding, op8_decontaminate, op9_class_lm, op10_chat, pipeline]
     return {f.__name__: f for f in found}
 
 
