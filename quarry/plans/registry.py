@@ -1,11 +1,427 @@
-"""All queries of the engine, with their SQL counterparts."""
+"""All queries of the engine, with their SQL counterparts.
+
+The tables stand in for archives: documents by language or source (title: the first line), pages as entries (archive: the host's
+last two labels), conversations as documents with sections.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import columns as C
+from quarry.operators import articles, entries, federated, index, score
+
+TERMS = ["the", "that", "and"]
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_by(spark: SparkSession, sf_dir: str, archive: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col(archive).alias("archive"), "doc_id", "text")
+
+
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the pages table: path from the URL, title from <title>, a MIME type from the path."""
+    p = _table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^https?://([^/]*)", 1)
+    path = F.regexp_extract("url", r"^https?://[^/]*/(.*)$", 1)
+    w = Window.partitionBy("archive").orderBy("path", "page_id")
+    rows = p.select(F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("archive"), "page_id", path.alias("path"), F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"), "html")
+    return rows.select("archive", (F.row_number().over(w) - 1).alias("idx"), F.lit("C").alias("ns"), "path", "title", "page_id", F.octet_length("html").cast("long").alias("size"))
+
+
+_T = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')"
+_PAGES = r"""p AS (SELECT regexp_extract(regexp_extract(url, '^https?://([^/]*)', 1), '([^.]*\.[^.]*)$', 1) AS archive, page_id, regexp_extract(url, '^https?://[^/]*/(.*)$', 1) AS path,
+  regexp_extract(html, '<title>(.*?)</title>', 1) AS title, strlen(html) AS size, html FROM pages),
+e AS (SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY path, page_id) - 1 AS idx, 'C' AS ns, path, title, page_id, size FROM p)"""
+
+
+def _bm25_sql(archive: str, terms=TERMS) -> str:
+    """CTEs up to sc: archive, doc_id, doclen, matched, weight."""
+    q = ", ".join(f"('{t}', {n})" for t, n in score.fold_query(terms))
+    return f"""WITH d AS (SELECT {archive} AS archive, doc_id, {_T} AS terms FROM documents),
+len AS (SELECT archive, doc_id, len(terms) AS doclen FROM d),
+coll AS (SELECT archive, count(*) AS n, avg(doclen) AS av FROM len GROUP BY archive),
+q(term, wqf) AS (VALUES {q}),
+post AS (SELECT archive, doc_id, term, count(*) AS wdf FROM (SELECT archive, doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+m AS (SELECT p.*, q.wqf FROM post p JOIN q ON p.term = q.term),
+tf AS (SELECT archive, term, count(*) AS tf FROM m GROUP BY ALL),
+x AS (SELECT m.archive, m.doc_id, doclen, wdf, wqf, av, (n - tf + 0.5::DOUBLE) / (tf + 0.5::DOUBLE) AS x FROM m JOIN tf ON m.archive = tf.archive AND m.term = tf.term JOIN coll c ON m.archive = c.archive JOIN len l ON m.archive = l.archive AND m.doc_id = l.doc_id),
+sc AS (SELECT archive, doc_id, any_value(doclen) AS doclen, count(*) AS matched,
+  sum(ln(CASE WHEN x < 2 THEN x * 0.5::DOUBLE + 1 ELSE x END) * (2.0::DOUBLE * wqf / (1 + wqf)) * 2 * wdf / (1.0::DOUBLE * (greatest(doclen / av, 0.5::DOUBLE) * 0.5::DOUBLE + 0.5::DOUBLE) + wdf)) AS weight
+  FROM x GROUP BY archive, doc_id)"""
+
+
+# Index tables -----------------------------------------------------------------------------------------------------------
+
+
+@_query("postings_wdf", f"SELECT lang AS archive, doc_id, term, count(*) AS wdf FROM (SELECT lang, doc_id, unnest({_T}) AS term FROM documents) GROUP BY ALL")
+def postings_wdf(spark, sf_dir):
+    return index.postings(docs_by(spark, sf_dir, "lang"))
+
+
+@_query("term_stats", f"SELECT archive, term, count(*) AS term_freq, CAST(sum(wdf) AS BIGINT) AS coll_freq FROM (SELECT lang AS archive, doc_id, term, count(*) AS wdf FROM (SELECT lang, doc_id, unnest({_T}) AS term FROM documents) GROUP BY ALL) GROUP BY ALL")
+def term_stats(spark, sf_dir):
+    return index.term_stats(index.postings(docs_by(spark, sf_dir, "lang")))
+
+
+@_query("collection_stats", f"SELECT archive, count(*) AS n_docs, max(doc_id) AS last_doc, CAST(sum(l) AS BIGINT) AS total_doclen, round(avg(l), 6) AS avg_doclen, min(l) AS min_doclen, max(l) AS max_doclen FROM (SELECT lang AS archive, doc_id, CAST(len({_T}) AS BIGINT) AS l FROM documents) GROUP BY archive")
+def collection_stats(spark, sf_dir):
+    return index.coll_stats(index.doc_stats(docs_by(spark, sf_dir, "lang"))).withColumn("avg_doclen", F.round("avg_doclen", 6))
+
+
+@_query("prefix_expand_top100", f"SELECT archive, term, term_freq FROM (SELECT lang AS archive, term, count(DISTINCT doc_id) AS term_freq FROM (SELECT lang, doc_id, unnest({_T}) AS term FROM documents) WHERE lang = 'en' AND starts_with(term, 'th') GROUP BY ALL) ORDER BY term_freq DESC, term LIMIT 100")
+def prefix_expand(spark, sf_dir):
+    posts = index.postings(docs_by(spark, sf_dir, "lang").filter("archive = 'en'"))
+    return index.terms_with_prefix(index.term_stats(posts), "th", 100).select("archive", "term", "term_freq")
+
+
+@_query("positions", f"SELECT doc_id, term, list(pos ORDER BY pos) AS positions FROM (SELECT doc_id, unnest({_T}) AS term, generate_subscripts({_T}, 1) - 1 AS pos FROM documents) WHERE term IN ('the', 'that', 'and') GROUP BY ALL")
+def positions(spark, sf_dir):
+    return index.postings(docs_by(spark, sf_dir, "lang"), positions=True).filter(F.col("term").isin(TERMS)).select("doc_id", "term", F.transform("positions", lambda p: p.cast("long")).alias("positions"))
+
+
+# Scoring and top-k ------------------------------------------------------------------------------------------------------
+
+_TOP = "SELECT archive, doc_id, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, doc_id) - 1 AS rank FROM sc {where}) WHERE rank < 10"
+
+
+def _top(hits):
+    return score.top_k(hits, 10).select("archive", "doc_id", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query("bm25_and_topk", _bm25_sql("lang") + _TOP.format(where="WHERE matched = 3"))
+def bm25_and(spark, sf_dir):
+    return _top(score.scored(docs_by(spark, sf_dir, "lang"), TERMS).filter("all"))
+
+
+@_query("bm25_or_topk", _bm25_sql("lang") + _TOP.format(where=""))
+def bm25_or(spark, sf_dir):
+    return _top(score.scored(docs_by(spark, sf_dir, "lang"), TERMS))
+
+
+@_query("bm25_index_or_topk", _bm25_sql("source", ["the", "the", "of"]) + _TOP.format(where=""))
+def bm25_index(spark, sf_dir):
+    docs = docs_by(spark, sf_dir, "source")
+    return _top(score.scored_from_index(index.postings(docs), index.doc_stats(docs), ["the", "the", "of"]))
+
+
+@_query("match_totals", _bm25_sql("source") + "SELECT archive, count(*) FILTER (matched = 3) AS and_total, count(*) AS or_total FROM sc GROUP BY archive")
+def match_totals(spark, sf_dir):
+    return score.totals(score.scored(docs_by(spark, sf_dir, "source"), TERMS))
+
+
+@_query("total_estimate", _bm25_sql("source") + "SELECT count(*) AS total_estimate, count(*) FILTER (matched = 3) AS and_total FROM sc")
+def total_estimate(spark, sf_dir):
+    return federated.total_estimate(docs_by(spark, sf_dir, "source"), TERMS)
+
+
+@_query("percent_fulltext", _bm25_sql("lang") + """, b AS (SELECT archive, weight AS bw, matched AS bm FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, doc_id) AS k FROM sc) WHERE k = 1)
+SELECT sc.archive, doc_id, CAST(greatest(floor(round(weight * (bm / 3.0::DOUBLE) * 100 / bw + 100 * 2.220446049250313e-16, 9)), 1) AS INTEGER) AS percent FROM sc JOIN b ON sc.archive = b.archive""")
+def percent_fulltext(spark, sf_dir):
+    return score.percent(score.scored(docs_by(spark, sf_dir, "lang"), TERMS), 3).select("archive", "doc_id", "percent")
+
+
+def _federated_sql(terms: list[str], offset: int, limit: int, weight: str = "1.0::DOUBLE", tail: str = "") -> str:
+    depth, n = federated.depth_of(offset, limit), len(set(terms))
+    return _bm25_sql("source", terms) + f""", o AS (SELECT *, matched = {n} AS a, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, doc_id) AS r FROM sc),
+r AS (SELECT *, row_number() OVER (PARTITION BY archive, a ORDER BY round(weight, 9) DESC, doc_id) AS k FROM o WHERE a OR r <= {depth}),
+s AS (SELECT *, {weight} AS w, 0.75::DOUBLE * weight / max(weight) OVER (PARTITION BY a) AS st FROM r WHERE k <= {depth}),
+f AS (SELECT *, w / (60 + k) + st * w / 61 AS fu, count(*) FILTER (a) OVER () AS na FROM s),
+g AS (SELECT * FROM f WHERE a OR na < {offset + limit}),
+h AS (SELECT *, round(fu / max(fu) OVER (PARTITION BY a) * CASE WHEN a THEN 1 WHEN na > 0 THEN 0.5::DOUBLE ELSE 1 END, 4) AS score FROM g),
+z AS (SELECT row_number() OVER (ORDER BY a DESC, round(fu, 9) DESC, archive, k) AS rank, archive, doc_id, score, NOT a AS partial FROM h {tail})
+SELECT rank, archive, doc_id, score, partial FROM z WHERE rank > {offset} AND rank <= {offset + limit}"""
+
+
+def _page(df):
+    return df.withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query("federated_search", _federated_sql(TERMS, 0, 20))
+def federated_search(spark, sf_dir):
+    return _page(federated.federated_search(docs_by(spark, sf_dir, "source"), TERMS, 0, 20))
+
+
+@_query("federated_search_fallback", _federated_sql(["idiot", "que", "les"], 0, 30))
+def federated_fallback(spark, sf_dir):
+    return _page(federated.federated_search(docs_by(spark, sf_dir, "source"), ["idiot", "que", "les"], 0, 30))
+
+
+@_query("federated_search_page2", _federated_sql(["of", "was"], 20, 20))
+def federated_page2(spark, sf_dir):
+    return _page(federated.federated_search(docs_by(spark, sf_dir, "source"), ["of", "was"], 20, 20))
+
+
+@_query("min_score_page", _federated_sql(TERMS, 0, 50, tail="WHERE score >= 0.9"))
+def min_score_page(spark, sf_dir):
+    return _page(federated.federated_search(docs_by(spark, sf_dir, "source"), TERMS, 0, 50, min_score=0.9))
+
+
+@_query("archive_priority_fuse", _federated_sql(TERMS, 0, 20, weight="CASE WHEN archive IN ('src1', 'src2') THEN 2.0::DOUBLE WHEN starts_with(archive, 'src1') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"))
+def archive_priority(spark, sf_dir):
+    rules = [("src1", 2.0), ("SRC2", 2.0), ("src1*", 0.5)]
+    return _page(federated.federated_search(docs_by(spark, sf_dir, "source"), TERMS, 0, 20, weight=C.priority(F.col("archive"), rules)))
+
+
+@_query("doc_set_algebra", f"""WITH d AS (SELECT doc_id, {_T} AS t FROM documents), a AS (SELECT doc_id FROM d WHERE list_contains(t, 'the')), b AS (SELECT doc_id FROM d WHERE list_contains(t, 'was'))
+SELECT 'and' AS op, doc_id FROM (SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b) UNION ALL SELECT 'or', doc_id FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b) UNION ALL SELECT 'not', doc_id FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b)""")
+def doc_set_algebra(spark, sf_dir):
+    d = docs_by(spark, sf_dir, "lang").select("doc_id", C.simple_terms(F.col("text")).alias("t"))
+    a, b = (d.filter(F.array_contains("t", w)).select("doc_id") for w in ("the", "was"))
+    parts = {"and": a.intersect(b), "or": a.union(b).distinct(), "not": a.subtract(b)}
+    out = [df.select(F.lit(op).alias("op"), "doc_id") for op, df in parts.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+# Phrases and titles -----------------------------------------------------------------------------------------------------
+
+
+@_query("phrase_adjacent", f"WITH d AS (SELECT lang AS archive, doc_id, {_T} AS t FROM documents) SELECT archive, doc_id FROM d WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0")
+def phrase_adjacent(spark, sf_dir):
+    d = docs_by(spark, sf_dir, "lang").withColumn("t", C.simple_terms(F.col("text")))
+    return d.filter(C.contains_phrase(F.col("t"), ["of", "the"])).select("archive", "doc_id")
+
+
+_TITLES = "t AS (SELECT lang AS archive, doc_id, split_part(text, chr(10), 1) AS title FROM documents)"
+
+
+def _titles(spark, sf_dir):
+    return docs_by(spark, sf_dir, "lang").select("archive", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+
+
+@_query("title_boost", f"WITH {_TITLES} SELECT doc_id, CASE WHEN trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) = 'the of' THEN 1.0::DOUBLE WHEN list_has_all(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ['the', 'of']) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM t")
+def title_boost(spark, sf_dir):
+    return _titles(spark, sf_dir).select("doc_id", C.title_boost(F.col("title"), F.lit("The  of")).alias("boost"))
+
+
+@_query("title_prefix_range", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'blue')")
+def title_prefix_range(spark, sf_dir):
+    return _table(spark, sf_dir, "part").filter(F.col("p_name").startswith("blue")).select("p_partkey", "p_name")
+
+
+@_query("listing_mode", f"WITH {_TITLES} SELECT archive, doc_id, title, 100 AS percent, 0.25::DOUBLE AS strength FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY title, doc_id) AS k FROM t WHERE starts_with(title, 'the') OR starts_with(title, 'The')) WHERE k <= 10")
+def listing_mode(spark, sf_dir):
+    t = _titles(spark, sf_dir)
+    found = t.filter(F.col("title").startswith("the")).union(t.filter(F.col("title").startswith("The"))).distinct()
+    k = F.row_number().over(Window.partitionBy("archive").orderBy("title", "doc_id"))
+    return found.withColumn("k", k).filter("k <= 10").select("archive", "doc_id", "title", F.lit(100).alias("percent"), F.lit(0.25).alias("strength"))
+
+
+# Entries ----------------------------------------------------------------------------------------------------------------
+
+
+@_query("entries_scan", f"WITH {_PAGES} SELECT archive, idx, ns, path, title, size FROM e")
+def entries_scan(spark, sf_dir):
+    return page_entries(spark, sf_dir).select("archive", F.col("idx").cast("long").alias("idx"), "ns", "path", "title", "size")
+
+
+@_query("insertion_point", f"WITH {_PAGES} SELECT archive, count(*) FILTER (path < 'm') AS position FROM e GROUP BY archive")
+def insertion_point(spark, sf_dir):
+    return entries.insertion_point(page_entries(spark, sf_dir), "C", "m")
+
+
+@_query("title_ordered_scan", f"WITH {_PAGES} SELECT archive, page_id, row_number() OVER (PARTITION BY archive ORDER BY CASE WHEN title = '' THEN path ELSE title END, idx) AS position FROM e")
+def title_ordered(spark, sf_dir):
+    shown = C.display_title(F.col("title"), F.col("path"))
+    return page_entries(spark, sf_dir).select("archive", "page_id", F.row_number().over(Window.partitionBy("archive").orderBy(shown, "idx")).cast("long").alias("position"))
+
+
+@_query("uri_projection", f"WITH {_PAGES} SELECT page_id, 'C/' || path AS full_path, 'zim://' || archive || '/' || path AS uri FROM e")
+def uri_projection(spark, sf_dir):
+    return page_entries(spark, sf_dir).select("page_id", C.full_path(F.col("ns"), F.col("path")).alias("full_path"), C.uri(F.col("archive"), F.col("path")).alias("uri"))
+
+
+@_query("compat_lookup", f"WITH {_PAGES} SELECT archive, 'C/' || path AS want, min(idx) AS idx FROM e GROUP BY archive, path")
+def compat_lookup(spark, sf_dir):
+    e = page_entries(spark, sf_dir)
+    first = e.groupBy("archive", "ns", "path").agg(F.min("idx").cast("long").alias("idx"))
+    keys = e.select("archive", C.full_path(F.col("ns"), F.col("path")).alias("want")).distinct()
+    return entries.resolve_compat(first, keys).select("archive", "want", "idx")
+
+
+@_query("redirect_resolve", """WITH RECURSIVE n AS (SELECT doc_id AS id, CASE WHEN doc_id < 3 THEN NULL WHEN doc_id % 10 = 7 THEN doc_id ELSE doc_id // 2 END AS target FROM documents),
+r AS (SELECT id, id AS at, 0 AS hops FROM n UNION ALL SELECT r.id, n.target, hops + 1 FROM r JOIN n ON r.at = n.id WHERE n.target IS NOT NULL AND hops < 50)
+SELECT n.id AS id, f.at AS final, CAST(f.hops AS INTEGER) AS hops FROM n LEFT JOIN (SELECT r.* FROM r JOIN n ON r.at = n.id WHERE n.target IS NULL AND hops <= 49) f ON n.id = f.id""")
+def redirect_resolve(spark, sf_dir):
+    i = F.col("doc_id")
+    target = F.when(i < 3, None).when(i % 10 == 7, i).otherwise(F.floor(i / 2))
+    return entries.resolve_redirects(_table(spark, sf_dir, "documents").select(i.alias("id"), target.cast("long").alias("target")))
+
+
+@_query("order_check", f"WITH {_PAGES} SELECT archive, page_id, path FROM (SELECT *, lag(path) OVER (PARTITION BY archive ORDER BY page_id) >= path AS bad FROM e) WHERE bad")
+def order_check(spark, sf_dir):
+    return entries.order_problems(page_entries(spark, sf_dir), ["path"], "page_id")
+
+
+@_query("integrity_report", f"WITH {_PAGES} SELECT archive, 'order' AS \"check\", min(page_id) AS first_idx, count(*) AS n FROM (SELECT *, lag(path) OVER (PARTITION BY archive ORDER BY page_id) >= path AS bad FROM e) WHERE bad GROUP BY archive UNION ALL SELECT archive, 'pointer', min(page_id), count(*) FROM e WHERE size >= 2000 GROUP BY archive")
+def integrity_report(spark, sf_dir):
+    e = page_entries(spark, sf_dir).withColumn("idx", F.col("page_id"))
+    return entries.first_problem({"order": entries.order_problems(e, ["path"]), "pointer": entries.bound_problems(e, "size", F.lit(2000))})
+
+
+@_query("counter_by_mime", "SELECT lang, CASE WHEN source IN ('src0', 'src1') THEN 'text/html' WHEN source = 'src2' THEN 'image/png' ELSE 'text/plain' END AS mime, count(*) AS n FROM documents GROUP BY ALL")
+def counter_by_mime(spark, sf_dir):
+    mime = F.when(F.col("source").isin("src0", "src1"), "text/html").when(F.col("source") == "src2", "image/png").otherwise("text/plain")
+    return _table(spark, sf_dir, "documents").groupBy("lang", mime.alias("mime")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("catalogue", "SELECT lang AS archive, count(*) AS entry_count, count(*) FILTER (source IN ('src0', 'src1')) AS html_count, count(*) FILTER (source = 'src2') AS media_count, count(*) FILTER (source = 'src3') AS redirect_count FROM documents GROUP BY lang")
+def catalogue(spark, sf_dir):
+    mime = F.when(F.col("source").isin("src0", "src1"), "text/html").when(F.col("source") == "src2", "image/png").otherwise("text/plain")
+    rows = _table(spark, sf_dir, "documents").select(F.col("lang").alias("archive"), mime.alias("mime"), F.when(F.col("source") == "src3", "redirect").otherwise("item").alias("kind"))
+    return entries.catalogue(rows)
+
+
+@_query("coverage", "SELECT lang AS archive, round(least(1, count(*) FILTER (text LIKE '%the%') / CAST(count(*) AS DOUBLE)), 3) AS coverage FROM documents GROUP BY lang")
+def coverage(spark, sf_dir):
+    return docs_by(spark, sf_dir, "lang").groupBy("archive").agg(F.round(F.least(F.lit(1.0), F.count_if(F.col("text").contains("the")) / F.count(F.lit(1))), 3).alias("coverage"))
+
+
+@_query("unique_names", "SELECT c_custkey, c_mktsegment AS name, CASE WHEN k = 1 THEN c_mktsegment ELSE c_mktsegment || '~' || k END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer)")
+def unique_names(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.col("c_mktsegment").alias("name"))
+    return entries.unique_names(c).select(F.col("file").alias("c_custkey"), "name", "unique_name")
+
+
+@_query("catalogue_filter", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red')")
+def catalogue_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "part").filter(C.matches_filter("RED", F.col("p_name"), F.col("p_brand"))).select("p_partkey")
+
+
+@_query("md5_content", "SELECT page_id, md5(html) AS digest, strlen(html) AS size FROM pages")
+def md5_content(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
+
+
+# Articles ---------------------------------------------------------------------------------------------------------------
+
+
+@_query("page_title", r"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t,
+trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS h FROM pages) SELECT page_id, CASE WHEN t <> '' THEN t WHEN h <> '' THEN h END AS title FROM x""")
+def page_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", articles.page_title(F.col("html")).alias("title"))
+
+
+_LINKS = r"""l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), 1) - 1 AS ord FROM pages)"""
+
+
+@_query("page_links", f"WITH {_LINKS} SELECT page_id, ord, href, CASE WHEN regexp_matches(href, '^(?i)([a-z][a-z0-9+.-]*:|//)') THEN 'external' WHEN starts_with(href, '#') THEN 'anchor' ELSE 'internal' END AS kind FROM l")
+def page_links(spark, sf_dir):
+    rows = articles.page_links(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.col("ord").cast("long").alias("ord"), "href", C.normalise_href(F.col("href")).alias("kind"))
+
+
+_RESOLVED = f"""WITH {_LINKS}, u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY ord) = 1),
+p AS (SELECT regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS path, min(page_id) AS target FROM pages GROUP BY 1)
+SELECT page_id, href, target, target IS NOT NULL AS found FROM u LEFT JOIN p ON u.href = p.path"""
+
+
+def _resolved(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    links = articles.first_per_target(articles.page_links(pages), "page_id", "href")
+    targets = pages.groupBy(F.regexp_extract("url", r"^https?://[^/]*(/.*)$", 1).alias("href")).agg(F.min("page_id").alias("target"))
+    return links.join(targets, "href", "left").select("page_id", "href", "target", F.col("target").isNotNull().alias("found"))
+
+
+@_query("links_resolved", _RESOLVED)
+def links_resolved(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@_query("links_broken", f"SELECT page_id, href FROM ({_RESOLVED}) WHERE NOT found")
+def links_broken(spark, sf_dir):
+    return _resolved(spark, sf_dir).filter("not found").select("page_id", "href")
+
+
+@_query("links_page", f"WITH {_LINKS}, u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY ord) = 1) SELECT page_id, href, n FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM u) WHERE n BETWEEN 2 AND 4")
+def links_page(spark, sf_dir):
+    rows = articles.first_per_target(articles.page_links(_table(spark, sf_dir, "pages")), "page_id", "href")
+    return rows.filter(F.col("n").between(2, 4)).select("page_id", "href", F.col("n").cast("long").alias("n"))
+
+
+_SECTIONS = "s AS (SELECT conv_id, turn, text, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations)"
+
+
+def _sections(spark, sf_dir):
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", level.alias("level"))
+
+
+@_query("section_ends", f'WITH {_SECTIONS} SELECT conv_id, turn, level, coalesce((SELECT min(t.turn) FROM s t WHERE t.conv_id = s.conv_id AND t.turn > s.turn AND t.level <= s.level), 1000) AS "end" FROM s')
+def section_ends(spark, sf_dir):
+    return articles.section_ends(_sections(spark, sf_dir), "conv_id", "turn", "level", F.lit(1000).cast("long")).select("conv_id", "turn", "level", "end")
+
+
+@_query("find_section", f"WITH {_SECTIONS}, m AS (SELECT conv_id, turn, text, CASE WHEN lower(text) = 'the' THEN 0 WHEN starts_with(lower(text), 'the') THEN 1 WHEN contains(lower(text), 'the') THEN 2 END AS m FROM s) SELECT conv_id, turn AS ord, text AS title FROM m WHERE m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY m, turn) = 1")
+def find_section(spark, sf_dir):
+    rows = _sections(spark, sf_dir).select("conv_id", F.col("turn").alias("ord"), F.col("text").alias("title"))
+    return articles.find_section(rows, "conv_id", "the")
+
+
+@_query("outline", f"WITH {_SECTIONS} SELECT conv_id, turn, level, split_part(text, ' ', 1) AS title, length(text) AS chars FROM s")
+def outline(spark, sf_dir):
+    return _sections(spark, sf_dir).select("conv_id", "turn", "level", F.split_part("text", F.lit(" "), F.lit(1)).alias("title"), F.char_length("text").cast("long").alias("chars"))
+
+
+@_query("context_pack", """WITH r AS (SELECT conv_id AS query, turn AS rank, text, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT query, rank, text[1:CAST(least(n, 1200 - b) AS INTEGER)] AS text, CAST(least(n, 1200 - b) AS BIGINT) AS chars, n > 1200 - b AS cut FROM r WHERE k <= 6 AND (n <= 1200 - b OR 1200 - b >= 200)""")
+def context_pack(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query"), F.col("turn").alias("rank"), "text")
+    return articles.pack(rows, 1200, 6)
+
+
+@_query("context_markdown", "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+def context_markdown(spark, sf_dir):
+    part = F.struct("turn", F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text")).alias("t"))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "\n\n---\n\n").alias("markdown"))
+
+
+@_query("read_window", "SELECT doc_id, text[101:300] AS content, length(text) AS total, CASE WHEN length(text) > 300 THEN 300 END AS next_offset FROM documents")
+def read_window(spark, sf_dir):
+    w = C.char_window(F.col("text"), 100, 200)
+    return _table(spark, sf_dir, "documents").select("doc_id", w["content"].alias("content"), w["total"].cast("long").alias("total"), w["next_offset"].alias("next_offset"))
+
+
+@_query("trim_chars", r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(text[1:80], '\s+\S*$', '') || '…' END AS short FROM documents")
+def trim_chars(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", C.trim_chars(F.col("text"), 80).alias("short"))
+
+
+@_query("word_count", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents")
+def word_count(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", C.word_count(F.col("text")).alias("words"))
+
+
+@_query("human_size", "SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f}', n / 1024.0::DOUBLE) || ' KiB' ELSE format('{:.1f}', n / 1048576.0::DOUBLE) || ' MiB' END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey % 3000000 AS n FROM orders)")
+def human_size(spark, sf_dir):
+    n = (F.col("o_orderkey") * F.col("o_orderkey") % 3000000).cast("long")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.human_size(n).alias("size"))
+
+
+@_query("value_slot_stats", "SELECT lang, count(*) AS freq, min(text) AS lower_bound, max(text) AS upper_bound FROM documents GROUP BY lang")
+def value_slot_stats(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("text").alias("freq"), F.min("text").alias("lower_bound"), F.max("text").alias("upper_bound"))
