@@ -8,8 +8,8 @@ registers are the join keys: two sets with a similarity of 0.8 miss each other i
 Documents with one set form a class, of which the least doc_id stands for all. Classes that share a band are candidates; the
 collision-corrected similarity of the sketches prunes them and the full sets decide. In a band key of up to ALL_PAIRS classes all
 pairs are candidates. In a larger one each class meets a leader instead, and after links have been joined to components, only
-classes of other components meet the next leader; keys that still hold several components after LEADERS rounds are settled by
-their pairs across components. So a large group of near copies costs rows in proportion to its size, and no link is lost: a pair
+classes of other components meet the next leader; in keys that still hold several components after LEADERS rounds, those outside
+the largest are compared with all by inverted lists, in parts of bounded size, and only links leave the task. So a large group of near copies costs rows in proportion to its size, and no link is lost: a pair
 left untested always lies in one component already.
 
 Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from quarry.llm.components import components
 
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
-ALL_PAIRS, LEADERS = 12, 4
+ALL_PAIRS, LEADERS = 12, 3
 EMPTY = np.uint16(0xFFFF)
 _TRIES = 48
 _DONORS = np.random.default_rng(20170801).integers(0, REGISTERS, (_TRIES, REGISTERS))
@@ -117,7 +118,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches do not rule them out: estimates more than 0.2 under the threshold go (7 standard deviations)."""
+    """Pairs whose sketches do not rule them out: estimates five standard deviations under the threshold go."""
     c = classes.select("node", "sketch", "n_shingles")
     a = c.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     b = c.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
@@ -129,7 +130,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 continue
             sa, sb = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
             na, nb = x.column(4).to_numpy().astype(float), x.column(5).to_numpy().astype(float)
-            ok = (estimate(sa, sb, na, nb) >= percent / 100 - 0.2) | (np.minimum(na, nb) < 64)  # small sets are cheap to compare
+            margin = 2 / np.sqrt(np.minimum(np.minimum(na, nb), REGISTERS))  # five standard deviations
+            ok = estimate(sa, sb, na, nb) >= percent / 100 - margin
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     return sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
@@ -183,6 +185,52 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+OPEN = "key long, salt int, probe boolean, node long, comp long, items binary"
+
+
+def _open_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int = 4000) -> DataFrame:
+    """Links between components within keys that hold several, tested on full sets where they lie; only links leave a task.
+
+    The rows of a key outside its largest component are compared with all its rows, which are dealt in parts of about per_task;
+    an inverted list of a part's shingles gives all its intersections with a row at once.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("m")).select(F.col("key").alias("k"), "main", F.ceil(F.col("m") / per_task).cast("int").alias("parts"))
+    known = rows.join(main, rows.key == main.k).join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
+    known = known.select("key", "node", "comp", "items", "parts", (F.col("comp") != F.col("main")).alias("outside"))
+    base = known.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("probe"), "node", "comp", "items")
+    probe = known.filter("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("probe"), "node", "comp", "items")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, asks = pdf[~pdf["probe"]], pdf[pdf["probe"]]
+        found = []
+        if len(own) and len(asks):
+            lists = [np.frombuffer(x, np.uint64) for x in own["items"]]
+            n = np.array([len(x) for x in lists])
+            items, of = np.concatenate(lists), np.repeat(np.arange(len(n)), n)
+            order = np.argsort(items, kind="stable")
+            items, of = items[order], of[order]
+            nodes, comps = own["node"].to_numpy(), own["comp"].to_numpy()
+            for node, comp, data in zip(asks["node"], asks["comp"], asks["items"], strict=True):
+                s = np.frombuffer(data, np.uint64)
+                lo, hi = np.searchsorted(items, s, "left"), np.searchsorted(items, s, "right")
+                size = hi - lo
+                at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+                both = np.bincount(of[at], minlength=len(n))
+                ok = (100 * both >= percent * (len(s) + n - both)) & (comps != comp)
+                if ok.any():
+                    found += _one_each(node, nodes[ok], comps[ok])
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return base.unionByName(probe).groupBy("key", "salt").applyInPandas(run, "a long, b long").distinct()
+
+
+def _one_each(node: int, nodes: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
+    """One link to each component that the node is linked with: others of the same add nothing."""
+    _, first = np.unique(comps, return_index=True)
+    return [(min(node, x), max(node, x)) for x in nodes[first].tolist()]
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; documents of a component are linked by chains of similar sets."""
     docs = common.documents(docs)
@@ -220,8 +268,8 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
         open_rows = common.materialise(now.join(mixed, "key", "left_semi"), "open-bands")
         if not open_rows.take(1):
             break
-        pairs = _leader_pairs(open_rows, turn) if turn < LEADERS else _cross_pairs(open_rows)
-        links = common.materialise(links.unionByName(confirm(pairs)), "all-links")
+        new = confirm(_leader_pairs(open_rows, turn)) if turn < LEADERS else _open_links(open_rows, sets, percent)
+        links = common.materialise(links.unionByName(new), "all-links")
     return links
 
 
