@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 from quarry.llm.induced_sort import suffixes_descending
 
-SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, MEMORY, PER_BUCKET = 50, 24, 4 << 20, 12 << 20, 384 << 20, 1_000_000
+SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, MEMORY, PER_BUCKET = 50, 24, 8 << 20, 16 << 20, 192 << 20, 1_000_000
 NO_ID = (1 << 63) - 1
 CUT = 0xFF  # never a byte of UTF-8
 BLOCK = "block long, n_anchors long, doc_ids binary, lengths binary, data binary"
@@ -58,13 +58,16 @@ def byte_grams(text: np.ndarray, k: int) -> np.ndarray:
     while True:
         if k & size:
             if out is None:
-                out = part
+                out = part.copy()
             else:
                 m = min(len(out), len(part) - done)
                 out = out[:m] * _power(size) + part[done : done + m]
             done += size
         if 2 * size > k:
-            return common.mix(out[: len(text) - k + 1])
+            out = out[: len(text) - k + 1]
+            out ^= out >> np.uint64(32)
+            out *= np.uint64(0x94D049BB133111EB)  # the upper bits are the well-mixed ones
+            return out
         m = len(part) - size
         part = part[:m] * _power(size) + part[size:]
         size *= 2
@@ -91,7 +94,10 @@ class Text:
         n = len(self.data) - SPAN + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, bool)
-        least = sliding_min(byte_grams(self.data, GRAM) >> np.uint64(16), SPAN - GRAM + 1)
+        least, step = np.empty(n, np.uint64), 1 << 15  # pieces that stay in the processor's cache
+        for i in range(0, n, step):
+            piece = byte_grams(self.data[i : i + step + SPAN - 1], GRAM)
+            least[i : i + step] = sliding_min(piece >> np.uint64(16), SPAN - GRAM + 1)
         inside = np.zeros(len(self.data) + 1, bool)
         for_each = self.lengths >= SPAN
         edge = np.zeros(len(self.data) + 1, np.int32)
@@ -312,10 +318,16 @@ def _answers(asked: DataFrame, spill: str) -> DataFrame:
                     least[k] = i
                 mine.append(k)
             where.append(np.array(mine, np.int64))
-        texts = list(known)
-        result = least_ids(texts, np.array(least, np.int64), spill)
+        texts, least = list(known), np.array(least, np.int64)
         windows = np.array([len(t) - SPAN + 1 for t in texts], np.int64)
         first = np.cumsum(windows) - windows
+        result = np.repeat(least, windows)
+        # Equal windows have one anchor: a segment that is alone under its anchor has its answer; the others are sorted.
+        whole = Text(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), windows + SPAN - 1, least)
+        _, of, n = np.unique(whole.anchors()[0][whole.starts], return_inverse=True, return_counts=True)
+        several = n[of] > 1
+        if several.any():
+            result[np.repeat(several, windows)] = least_ids([t for t, s in zip(texts, several.tolist(), strict=True) if s], least[several], spill)
         rows = []
         for number, segment, mine in zip(pdf["block"], pdf["segment"], where, strict=True):
             values = np.concatenate([result[first[k] : first[k] + windows[k]] for k in mine.tolist()])
