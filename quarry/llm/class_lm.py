@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-SEEDS, CLASSES, BLOCK_TOKENS, PER_BUCKET, SMOOTH, SWEEPS = 512, 24, 2_000_000, 400_000, 5.0, 8
+SEEDS, CLASSES, BLOCK_TOKENS, PER_BUCKET, SMOOTH, SWEEPS = 512, 24, 1_200_000, 300_000, 5.0, 8
 END_CLASS, UNKNOWN, OTHER = CLASSES, CLASSES + 1, CLASSES + 1  # the last two: of an answer, of a context
 WIDTH = CLASSES + 2
 END = np.uint64(0x454E44)
