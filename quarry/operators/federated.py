@@ -30,11 +30,15 @@ def fused(hits: DataFrame, depth: int, weight: Column = None, boost: Column = No
 
 def federated_search(docs: DataFrame, terms: list[str], offset: int = 0, limit: int = 10, or_fallback: bool = True, min_score: float | None = None, weight: Column = None) -> DataFrame:
     """One page: rank, archive, doc_id, score (4 digits) and partial. AND hits come first; hits of some terms follow if those run out."""
-    depth = depth_of(offset, limit)
-    hits = fused(score.scored(docs, terms), depth, weight)
+    return page_of(score.scored(docs, terms), offset, limit, or_fallback and len(set(terms)) > 1, min_score, weight)
+
+
+def page_of(scored: DataFrame, offset: int, limit: int, or_fallback: bool, min_score: float | None = None, weight: Column = None, boost: Column = None) -> DataFrame:
+    """One page of scored documents (archive, doc_id, weight, all) of all archives."""
+    hits = fused(scored, depth_of(offset, limit), weight, boost)
     whole = Window.partitionBy(F.lit(1))  # at most 2 * depth rows an archive
     hits = hits.withColumn("n_and", F.count_if("in_and").over(whole))
-    if not or_fallback or len(set(terms)) < 2:
+    if not or_fallback:
         hits = hits.filter("in_and")
     else:
         hits = hits.filter(F.col("in_and") | (F.col("n_and") < offset + limit))

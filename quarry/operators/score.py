@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
@@ -19,9 +19,9 @@ def _occurrences(term: str):
     return F.size(F.filter("terms", lambda x: x == F.lit(term))).cast("long")
 
 
-def scan_matches(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(archive, doc_id, doclen, wdf array) of every document, in one scan and without exploding it."""
-    own = C.simple_terms(F.col("text"))
+def scan_matches(docs: DataFrame, terms: list[str], own: Column | None = None) -> DataFrame:
+    """(archive, doc_id, doclen, wdf array) of every document, in one scan and without exploding it. `own` may name a column of index terms."""
+    own = C.simple_terms(F.col("text")) if own is None else own
     count = [_occurrences(t) for t, _ in fold_query(terms)]
     return docs.select("archive", "doc_id", own.alias("terms")).select("archive", "doc_id", F.size("terms").cast("long").alias("doclen"), F.array(*count).alias("wdf"))
 
@@ -32,10 +32,10 @@ def archive_stats(matches: DataFrame, n_terms: int) -> DataFrame:
     return matches.groupBy("archive").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doclen").alias("avg_doclen"), *tf)
 
 
-def scored(docs: DataFrame, terms: list[str]) -> DataFrame:
+def scored(docs: DataFrame, terms: list[str], own: Column | None = None) -> DataFrame:
     """(archive, doc_id, doclen, matched, weight) of documents with any query term; `all` marks those with all of them."""
     query = fold_query(terms)
-    matches = scan_matches(docs, terms)
+    matches = scan_matches(docs, terms, own)
     stats = archive_stats(matches, len(query)).withColumnRenamed("archive", "a")
     hits = matches.filter(F.exists("wdf", lambda x: x > 0)).join(stats, F.col("archive") == F.col("a"))
     weight, matched = F.lit(0.0), F.lit(0)

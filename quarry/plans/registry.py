@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import analyze, html, snippets
 from quarry.functions import columns as C
-from quarry.operators import articles, entries, federated, index, score
+from quarry.operators import articles, entries, federated, index, score, suggest
 
 TERMS = ["the", "that", "and"]
 _Q: dict = {}
@@ -213,7 +214,7 @@ def _titles(spark, sf_dir):
     return docs_by(spark, sf_dir, "lang").select("archive", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
 
 
-@_query("title_boost", f"WITH {_TITLES} SELECT doc_id, CASE WHEN trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) = 'the of' THEN 1.0::DOUBLE WHEN list_has_all(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ['the', 'of']) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM t")
+@_query("title_boost", f"WITH {_TITLES} SELECT doc_id, CASE WHEN trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) = 'the of' THEN 1.0::DOUBLE WHEN list_has_all(regexp_extract_all(lower(title), '[\p{{L}}\p{{M}}\p{{N}}_]+'), ['the', 'of']) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM t")
 def title_boost(spark, sf_dir):
     return _titles(spark, sf_dir).select("doc_id", C.title_boost(F.col("title"), F.lit("The  of")).alias("boost"))
 
@@ -425,3 +426,106 @@ def human_size(spark, sf_dir):
 @_query("value_slot_stats", "SELECT lang, count(*) AS freq, min(text) AS lower_bound, max(text) AS upper_bound FROM documents GROUP BY lang")
 def value_slot_stats(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("text").alias("freq"), F.min("text").alias("lower_bound"), F.max("text").alias("upper_bound"))
+
+
+# Analysis, suggestion and extraction --------------------------------------------------------------------------------------
+
+
+@_query("remove_accents", "SELECT doc_id, strip_accents(lower(text)) AS bare FROM documents")
+def remove_accents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", analyze.without_accents(F.col("text")).alias("bare"))
+
+
+@_query("index_terms")
+def index_terms(spark, sf_dir):
+    """Stemmed terms by each row's own language, with their frequencies."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("archive"), "doc_id", F.explode(analyze.index_terms(F.col("text"), F.col("lang"))).alias("term"))
+    return docs.groupBy("archive", "term").agg(F.countDistinct("doc_id").alias("term_freq"), F.count(F.lit(1)).alias("coll_freq"))
+
+
+_SUGGEST = r"""WITH t AS (SELECT lang AS archive, doc_id, split_part(text, chr(10), 1) AS title FROM documents),
+w AS (SELECT archive, doc_id, title, list_prepend('0posanchor', regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{M}\p{N}_]+')) AS ws FROM t),
+p AS (SELECT archive, doc_id, unnest(ws) AS word FROM w),
+i AS (SELECT archive, doc_id, word AS term FROM p UNION ALL SELECT archive, doc_id, 'Z' || word FROM p WHERE regexp_matches(word, '^[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]')),
+len AS (SELECT archive, doc_id, count(*) AS l FROM i GROUP BY ALL), coll AS (SELECT archive, count(*) AS n, avg(l) AS av FROM len GROUP BY archive),
+x AS (SELECT archive, doc_id, term, count(*) AS wdf FROM i WHERE term IN ('Zthe', 'Zof', 'the', 'of', '0posanchor') GROUP BY ALL),
+tf AS (SELECT archive, term, (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) AS r FROM x JOIN coll USING (archive) GROUP BY archive, term, n),
+s AS (SELECT archive, doc_id, term, ln(CASE WHEN r < 2 THEN r * 0.5::DOUBLE + 1 ELSE r END) * 1.001::DOUBLE * (CASE WHEN term = '0posanchor' THEN 1 ELSE wdf END) / (0.001::DOUBLE * greatest(l / av, 0.5::DOUBLE) + CASE WHEN term = '0posanchor' THEN 1 ELSE wdf END) AS part
+  FROM x JOIN tf USING (archive, term) JOIN len USING (archive, doc_id) JOIN coll USING (archive)),
+g AS (SELECT archive, doc_id, sum(part) FILTER (term IN ('Zthe', 'Zof')) AS fixed, sum(part) FILTER (term IN ('the', 'of')) AS phrase, sum(part) FILTER (term = '0posanchor') AS anchor, count(*) FILTER (term IN ('Zthe', 'Zof')) AS k FROM s GROUP BY ALL),
+f AS (SELECT g.archive, doc_id, title, fixed + CASE WHEN len(list_filter(range(1, len(ws)), lambda j: ws[j] = 'of' AND ws[j + 1] = 'the')) > 0 THEN phrase ELSE 0 END + CASE WHEN ws[2] = 'of' AND ws[3] = 'the' THEN phrase + anchor ELSE 0 END AS weight FROM g JOIN w USING (archive, doc_id) WHERE k = 2)
+SELECT archive, doc_id, title, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, title, doc_id) - 1 AS rank FROM f) WHERE rank < 10"""
+
+
+def _suggested(spark, sf_dir, text, words=None, language=None):
+    titles = _titles(spark, sf_dir)
+    own = suggest.title_index(titles, words, language)
+    return suggest.ordered(suggest.suggest(own, suggest.title_lengths(own), text, language), titles, 10)
+
+
+@_query("suggest_titles", _SUGGEST)
+def suggest_titles(spark, sf_dir):
+    rows = _suggested(spark, sf_dir, "of the ", C.simple_terms(F.col("title")))
+    return rows.select("archive", "doc_id", "title", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query("suggest_partial")
+def suggest_partial(spark, sf_dir):
+    """A word being typed: expansions, stems and phrases, fused over the archives."""
+    return suggest.federated_suggest(_suggested(spark, sf_dir, "the w", language="en"), "the w")
+
+
+@_query("title_exact", f"WITH {_TITLES} SELECT archive, min(doc_id) AS doc_id, title FROM t WHERE title IN (SELECT min(title) FROM t GROUP BY archive) GROUP BY archive, title")
+def title_exact(spark, sf_dir):
+    t = _titles(spark, sf_dir)
+    keys = t.groupBy("archive").agg(F.min("title").alias("title")).select("title").distinct()
+    return t.join(keys, "title").groupBy("archive", "title").agg(F.min("doc_id").alias("doc_id"))
+
+
+@_query("phrase_verified_page", _bm25_sql("source", ["of", "the"]) + f""", d2 AS (SELECT source AS archive, doc_id, {_T} AS t FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, doc_id) AS k FROM sc WHERE matched = 2),
+v AS (SELECT r.archive, r.doc_id, k FROM r JOIN d2 ON r.archive = d2.archive AND r.doc_id = d2.doc_id WHERE k <= 100 AND len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0)
+SELECT archive, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY k) AS rank FROM v) WHERE rank <= 10""")
+def phrase_verified_page(spark, sf_dir):
+    """Of the best 100 of each archive that have all words, the first ten that have the phrase."""
+    docs = docs_by(spark, sf_dir, "source")
+    best = score.top_k(score.scored(docs, ["of", "the"]).filter("all"), 100).withColumnRenamed("rank", "k")
+    fits = best.join(docs, ["archive", "doc_id"]).filter(C.contains_phrase(C.simple_terms(F.col("text")), ["of", "the"]))
+    rank = F.row_number().over(Window.partitionBy("archive").orderBy("k"))
+    return fits.select("archive", "doc_id", rank.cast("long").alias("rank")).filter("rank <= 10")
+
+
+def _extracted(spark, sf_dir):
+    path = F.regexp_extract("url", r"^https?://[^/]*/(.*)$", 1)
+    null = F.lit(None).cast("string")
+    return _table(spark, sf_dir, "pages").select("page_id", html.document(F.col("html"), F.lit("text/html"), F.lit("generic"), F.lit("C"), path, null).alias("d"))
+
+
+@_query("render_markdown_pages")
+def render_markdown_pages(spark, sf_dir):
+    return _extracted(spark, sf_dir).select("page_id", "d.title", "d.markdown", "d.text", "d.word_count")
+
+
+@_query("outline_pages")
+def outline_pages(spark, sf_dir):
+    return _extracted(spark, sf_dir).select("page_id", F.posexplode("d.sections").alias("index", "s")).select("page_id", "index", "s.level", "s.title", (F.col("s.end") - F.col("s.start")).alias("chars"))
+
+
+@_query("page_targets")
+def page_targets(spark, sf_dir):
+    """Every link of the rendered part of a page with what it points to."""
+    return _extracted(spark, sf_dir).select("page_id", F.posexplode("d.links").alias("ord", "l")).select("page_id", "ord", "l.*")
+
+
+@_query("snippets")
+def snippet_page(spark, sf_dir):
+    """The best excerpts of a page of hits: the limit comes first."""
+    docs = docs_by(spark, sf_dir, "lang")
+    page = score.top_k(score.scored(docs, TERMS).filter("all"), 10)
+    rows = page.join(docs, ["archive", "doc_id"])
+    return rows.select("archive", "doc_id", "rank", snippets.snippets(F.col("text"), " ".join(TERMS), F.col("archive"), 200).alias("snippet"))
+
+
+@_query("json_record_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_record_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
