@@ -12,7 +12,7 @@ from quarry.plans import registry
 
 HEADLINE = [
     "federated_search", "bm25_and_topk", "bm25_index_or_topk", "term_stats", "postings_wdf", "collection_stats", "percent_fulltext", "prefix_expand_top100",
-    "phrase_adjacent", "page_links", "links_resolved", "redirect_resolve", "context_pack", "entries_scan", "md5_content",
+    "phrase_adjacent", "page_links", "links_resolved", "redirect_resolve", "context_pack", "entries_scan", "md5_content", "render_markdown_pages", "phrase_verified_page",
 ]
 
 
