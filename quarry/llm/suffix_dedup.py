@@ -7,6 +7,8 @@ SPAN-byte window has an anchor, the least hash of its GRAM-byte substrings, whic
 2. runs of windows under one shared anchor are cut out as segments, equal ones once a block with their least doc_id, and go to
    the shard of their anchor; a shard concatenates its distinct segments, sorts their suffixes externally by induction, and
    adjacent suffixes with a common prefix of SPAN bytes or more are one string, whose least doc_id is sent back to the blocks;
+   an anchor with more windows than a sixty-fourth of a shard's bytes is hot: its windows are dealt one by one, by a hash of all
+   their SPAN bytes, to shards of their own, where equal ones meet and nothing is left to sort;
 3. each block removes the windows of which the least doc_id is smaller than the document's own.
 
 Shards are cut by SHARD_BYTES, queues beyond MEMORY spill to the shared folder. Anchors are 48-bit hashes: a chance agreement costs a
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,7 @@ from quarry.llm import common
 from quarry.llm.induced_sort import suffixes_descending
 
 SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, MEMORY, PER_BUCKET = 50, 24, 8 << 20, 16 << 20, 192 << 20, 1_000_000
+TELL = 64  # windows under an anchor in a block from which the block tells how many; fewer count as so many
 NO_ID = (1 << 63) - 1
 CUT = 0xFF  # never a byte of UTF-8
 BLOCK = "block long, n_anchors long, doc_ids binary, lengths binary, data binary"
@@ -157,8 +161,17 @@ def _of_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, bits): which of the block's sorted distinct anchors in the bucket are those of several documents."""
+def _ends(text: Text, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last window of each run that starts at `at`: before the next run or at the end of the document; and the document."""
+    doc = text.documents(at)
+    if not len(at):
+        return at, doc
+    return np.minimum(np.append(at[1:], len(text.data)) - 1, (text.starts + text.lengths - SPAN)[doc]), doc
+
+
+def _shared_anchors(blocks: DataFrame, buckets: int, hot_windows: int) -> DataFrame:
+    """(block, bucket, bits, n, hot, hot_windows): which of the block's n sorted distinct anchors in the bucket are those of several
+    documents, and the places of those with more than hot_windows windows in all blocks; one row of a bucket has their windows."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,22 +180,26 @@ def _shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
                 anchor, inside = t.anchors()
                 new = inside & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~inside[:-1]]) if len(anchor) else inside
                 at = np.flatnonzero(new)
-                a, d = anchor[at], t.documents(at)
-                order = np.lexsort((d, a))
-                a, d = a[order], d[order]
+                end, d = _ends(t, at)
+                a, order = anchor[at], np.lexsort((d, anchor[at]))
+                a, d, windows = a[order], d[order], (end - at + 1)[order]
                 first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.empty(0, bool)
                 many = np.zeros(len(a), bool)
                 if len(a) > 1:  # another document under the same anchor, within the block
                     many[1:] = ~first[1:] & (d[1:] != d[:-1])
                 begin = np.flatnonzero(first)
                 several = np.logical_or.reduceat(many, begin) if len(begin) else np.empty(0, bool)
+                windows = np.add.reduceat(windows, begin) if len(begin) else windows
                 a = a[first]
                 bucket = _bucket_of(a, buckets).astype(np.int64)
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(a) else np.array([0])
-                rows = [(int(bucket[i]), row["block"], _six(a[i:j]), np.packbits(several[i:j]).tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "block", "anchors", "several"])
+                rows = []
+                for i, j in zip(cut[:-1], cut[1:], strict=True):
+                    big = np.flatnonzero(windows[i:j] > TELL)
+                    rows.append((int(bucket[i]), row["block"], _six(a[i:j]), np.packbits(several[i:j]).tobytes(), big.astype(np.uint32).tobytes(), windows[i:j][big].astype(np.int64).tobytes()))
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "block", "anchors", "several", "big", "windows"])
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [_of_six(a) for a in pdf["anchors"]]
@@ -196,34 +213,52 @@ def _shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         shared = np.empty(len(every), bool)
         shared[order] = twice
         shared |= np.concatenate(flags)
-        out, at = [], 0
+        # An upper bound of each anchor's windows: what blocks tell, and TELL for each block that tells nothing.
+        windows = np.full(len(every), TELL, np.int64)
+        at = 0
+        for a, big, n in zip(asked, pdf["big"], pdf["windows"], strict=True):
+            windows[at + np.frombuffer(big, np.uint32).astype(np.int64)] = np.frombuffer(n, np.int64)
+            at += len(a)
+        begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(s) else np.empty(0, np.int64)
+        total = np.add.reduceat(windows[order], begin) if len(begin) else windows
+        heat = total > hot_windows
+        hot = np.empty(len(every), bool)
+        hot[order] = np.repeat(heat, np.diff(np.append(begin, len(s))))
+        hot &= shared
+        out, at, whole = [], 0, int(windows[hot].sum())
         for number, a in zip(pdf["block"], asked, strict=True):
-            out.append((int(number), int(key[0]), np.packbits(shared[at : at + len(a)]).tobytes(), len(a)))
+            mine = slice(at, at + len(a))
+            out.append((int(number), int(key[0]), np.packbits(shared[mine]).tobytes(), len(a), np.flatnonzero(hot[mine]).astype(np.uint32).tobytes(), 0 if at else whole))
             at += len(a)
-        return pd.DataFrame(out, columns=["block", "bucket", "bits", "n"])
+        return pd.DataFrame(out, columns=["block", "bucket", "bits", "n", "hot", "hot_windows"])
 
-    asked = blocks.select("block", "doc_ids", "lengths", "data").mapInArrow(ask, "bucket long, block long, anchors binary, several binary")
-    return asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary, n long")
+    asked = blocks.select("block", "doc_ids", "lengths", "data").mapInArrow(ask, "bucket long, block long, anchors binary, several binary, big binary, windows binary")
+    return asked.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary, n long, hot binary, hot_windows long")
 
 
 class Segments:
-    """The runs of a block's windows under one shared anchor; equal runs once, in the order of their first place."""
+    """The runs of a block's windows under one shared anchor, under a hot one each window; equal ones once, in the order of their first place."""
 
-    def __init__(self, text: Text, bits: list[tuple[bytes, int]]):
+    def __init__(self, text: Text, bits: list[tuple[bytes, int, bytes]]):
         anchor, inside = text.anchors()
         new = inside & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~inside[:-1]]) if len(anchor) else inside
         at = np.flatnonzero(new)
         distinct, back = np.unique(anchor[at], return_inverse=True)
-        shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in bits]).astype(bool) if bits else np.zeros(0, bool)
+        shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n, _ in bits]).astype(bool) if bits else np.zeros(0, bool)
         assert len(shared) == len(distinct)
-        # Where each run ends: at the next run's start or at the last window of the document.
-        doc = text.documents(at)
-        last = (text.starts + text.lengths - SPAN)[doc] if len(at) else at
-        nxt = np.append(at[1:], len(text.data)) if len(at) else at
-        end = np.minimum(nxt - 1, last)
+        heat, first = np.zeros(len(distinct), bool), 0
+        for _, n, places in bits:
+            heat[first + np.frombuffer(places, np.uint32).astype(np.int64)] = True
+            first += n
+        end, doc = _ends(text, at)
         keep = shared[back] if len(at) else np.zeros(0, bool)
         self.at, self.windows, self.anchor = at[keep], (end - at + 1)[keep], anchor[at[keep]] if len(at) else np.empty(0, np.uint64)
+        hot = heat[back][keep] if len(at) else keep
         ids = text.ids[doc[keep]]
+        if hot.any():
+            n = np.where(hot, self.windows, 1)
+            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            self.at, self.anchor, ids, self.windows, hot = np.repeat(self.at, n) + offset, np.repeat(self.anchor, n), np.repeat(ids, n), np.repeat(np.where(hot, 1, self.windows), n), np.repeat(hot, n)
         known: dict[bytes, int] = {}
         data = text.data.tobytes()
         self.of = np.fromiter((known.setdefault(data[a : a + w + SPAN - 1], len(known)) for a, w in zip(self.at.tolist(), self.windows.tolist(), strict=True)), np.int64, len(self.at))
@@ -232,14 +267,22 @@ class Segments:
         np.minimum.at(self.least, self.of, ids)
         self.key = np.zeros(len(known), np.uint64)
         self.key[self.of] = self.anchor
+        self.hot = np.zeros(len(known), bool)
+        # No window of a cold anchor's run equals a window under a hot one: its bytes decide its anchor, and heat is of all blocks.
+        self.hot[self.of] = hot
+        for k in np.flatnonzero(self.hot).tolist():
+            self.key[k] = xxhash.xxh3_64_intdigest(self.texts[k])
         self.ids = ids
 
 
-def _ask_segments(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+def _ask_segments(blocks: DataFrame, shared: DataFrame, shards: int, hot_shards: int) -> DataFrame:
+    """Each block's segments by shard; windows under hot anchors go to the hot_shards that follow the others."""
+
     def run(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("bucket")
-        s = Segments(_text(own.iloc[0]), list(zip(told["bits"], told["n"], strict=True)))
-        shard = (common.mix(s.key) % np.uint64(shards)).astype(np.int64)
+        s = Segments(_text(own.iloc[0]), list(zip(told["bits"], told["n"], told["hot"], strict=True)))
+        key_ = common.mix(s.key)
+        shard = np.where(s.hot, shards + (key_ % np.uint64(hot_shards)).astype(np.int64), (key_ % np.uint64(shards)).astype(np.int64))
         order = np.argsort(shard, kind="stable")
         rows, sorted_shard = [], shard[order]
         cut = np.flatnonzero(np.concatenate([[True], sorted_shard[1:] != sorted_shard[:-1], [True]])) if len(order) else np.array([0])
@@ -322,10 +365,14 @@ def _answers(asked: DataFrame, spill: str) -> DataFrame:
         windows = np.array([len(t) - SPAN + 1 for t in texts], np.int64)
         first = np.cumsum(windows) - windows
         result = np.repeat(least, windows)
-        # Equal windows have one anchor: a segment that is alone under its anchor has its answer; the others are sorted.
-        whole = Text(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), windows + SPAN - 1, least)
-        _, of, n = np.unique(whole.anchors()[0][whole.starts], return_inverse=True, return_counts=True)
-        several = n[of] > 1
+        # Equal windows have one anchor: a segment that is alone under its anchor has its answer, and so have distinct single
+        # windows; the others are sorted.
+        several = np.zeros(len(texts), bool)
+        if (windows > 1).any():
+            whole = Text(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), windows + SPAN - 1, least)
+            _, of, n = np.unique(whole.anchors()[0][whole.starts], return_inverse=True, return_counts=True)
+            longer = np.bincount(of, weights=windows > 1, minlength=len(n)) > 0
+            several = (n[of] > 1) & longer[of]
         if several.any():
             result[np.repeat(several, windows)] = least_ids([t for t, s in zip(texts, several.tolist(), strict=True) if s], least[several], spill)
         rows = []
@@ -342,14 +389,14 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _finish(blocks: DataFrame, shared: DataFrame, told: DataFrame, with_text: bool) -> DataFrame:
     # Both answers travel as rows of one table, so that the blocks are co-grouped once.
-    both = shared.select("block", F.col("bucket").alias("ord"), F.col("bits").alias("a"), F.lit(None).cast("binary").alias("b"), "n").unionByName(
+    both = shared.select("block", F.col("bucket").alias("ord"), F.col("bits").alias("a"), F.col("hot").alias("b"), "n").unionByName(
         told.select("block", F.lit(-1).cast("long").alias("ord"), F.col("segment").alias("a"), F.col("least").alias("b"), F.lit(0).cast("long").alias("n"))
     )
 
     def run(key: tuple, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         text = _text(own.iloc[0])
         bits, found = rows[rows["ord"] >= 0].sort_values("ord"), rows[rows["ord"] < 0]
-        s = Segments(text, list(zip(bits["a"], bits["n"], strict=True)))
+        s = Segments(text, list(zip(bits["a"], bits["n"], bits["b"], strict=True)))
         windows = np.zeros(len(s.texts), np.int64)
         windows[s.of] = s.windows
         first = np.cumsum(windows) - windows
@@ -360,13 +407,17 @@ def _finish(blocks: DataFrame, shared: DataFrame, told: DataFrame, with_text: bo
                 least[first[k] : first[k] + windows[k]] = values[at : at + windows[k]]
                 at += windows[k]
         gone = np.zeros(len(text.data) + 1, np.int32)
-        if len(s.at):
-            n = s.windows
+        done = np.cumsum(s.windows)
+        i = 0
+        while i < len(s.at):  # about a million windows at a time
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + (1 << 20), "right")))
+            n = s.windows[i:j]
             offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            hit = least[np.repeat(first[s.of], n) + offset] < np.repeat(s.ids, n)
-            start = (np.repeat(s.at, n) + offset)[hit]
+            hit = least[np.repeat(first[s.of[i:j]], n) + offset] < np.repeat(s.ids[i:j], n)
+            start = (np.repeat(s.at[i:j], n) + offset)[hit]
             np.add.at(gone, start, 1)
             np.add.at(gone, start + SPAN, -1)
+            i = j
         gone = np.cumsum(gone[:-1]) > 0
         out = []
         for i, a, n in zip(text.ids.tolist(), text.starts.tolist(), text.lengths.tolist(), strict=True):
@@ -388,7 +439,8 @@ def dedup_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
     least = common.parallelism(spark)
     blocks = common.materialise(_blocks(common.documents(docs), block_bytes), "byte-blocks", "none")
     size = blocks.agg(F.coalesce(F.sum("n_anchors"), F.lit(0))).first()[0]  # about one anchor for each 14 bytes
-    shared = common.materialise(_shared_anchors(blocks, max(least, -(-size // 14 // PER_BUCKET))), "shared-anchors", "none")
-    asked = common.materialise(_ask_segments(blocks, shared, max(least, -(-size // shard_bytes))), "segments", "none")
+    shared = common.materialise(_shared_anchors(blocks, max(least, -(-size // 14 // PER_BUCKET)), shard_bytes // 64), "shared-anchors", "none")
+    hot = shared.agg(F.coalesce(F.sum("hot_windows"), F.lit(0))).first()[0]
+    asked = common.materialise(_ask_segments(blocks, shared, max(least, -(-size // shard_bytes)), max(1, -(-hot * SPAN // shard_bytes))), "segments", "none")
     told = common.materialise(_answers(asked, common.scratch(spark, "sort-spill")), "least-ids", "none")
     return _finish(blocks, shared, told, with_text)

@@ -67,3 +67,21 @@ def test_grams_and_minimum():
             assert of.setdefault(x[i : i + k].tobytes(), v) == v
         assert len(set(of.values())) == len(of)
         assert S.sliding_min(x, k).tolist() == [x[i : i + k].min() for i in range(400 - k + 1)]
+
+
+@pytest.mark.parametrize("block", [6_000, 4 << 20])
+def test_hot_anchor_is_split(spark, monkeypatch, block):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    line, kept = text(26), {}
+    rows = [(i, text(60) + line + text(60)) for i in range(300)]
+    rows += [(1000 + i, "z" * i + rows[i][1][3:]) for i in range(0, 300, 5)] + [(None, rows[8][1])]
+    write = S.common.materialise
+    monkeypatch.setattr(S.common, "materialise", lambda df, name, *a: kept.setdefault(name, write(df, name, *a)))
+    shard = 8_000
+    got = S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), block, shard).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    size = {}
+    for x in kept["segments"].collect():
+        size[x.shard] = size.get(x.shard, 0) + len(S._unpack(x.data))
+    assert max(size.values()) < 2 * shard, sorted(size.values())[-3:]
