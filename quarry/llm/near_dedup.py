@@ -9,7 +9,8 @@ Documents with one set form a class, of which the least doc_id stands for all. C
 collision-corrected similarity of the sketches prunes them and the full sets decide. In a band key of up to ALL_PAIRS classes all
 pairs are candidates. In a larger one each class meets a leader instead, and after links have been joined to components, only
 classes of other components meet the next leader; in keys that still hold several components after LEADERS rounds, those outside
-the largest are compared with all by inverted lists, in parts of bounded size, and only links leave the task. So a large group of near copies costs rows in proportion to its size, and no link is lost: a pair
+the largest are compared with all by inverted lists, after a prefix filter, in a grid of parts of both sides with a bounded number
+of sets and shingles, and only links leave the task. So a large group of near copies costs rows in proportion to its size, and no link is lost: a pair
 left untested always lies in one component already.
 
 Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
@@ -185,21 +186,72 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-OPEN = "key long, salt int, probe boolean, node long, comp long, items binary"
+COUNTERS, CHUNKS, PER_TASK, ITEMS_PER_TASK = 1 << 18, 8, 4000, 4_000_000
 
 
-def _open_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int = 4000) -> DataFrame:
+def _counters(known: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by their upper 18 bits; summed in chunks on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                items = np.frombuffer(b"".join(b.column(0).slice(k, 512).to_pylist()), np.uint64)
+                total += np.bincount((items >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in np.split(total, CHUNKS)], pa.binary())], ["chunk", "data"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [key[0]], "data": [sum(np.frombuffer(x, np.int64) for x in pdf["data"]).tobytes()]})
+
+    rows = known.select("items").mapInArrow(run, "chunk int, data binary").groupBy("chunk").applyInPandas(add, "chunk int, data binary").orderBy("chunk").collect()
+    return np.concatenate([np.frombuffer(r.data, np.int64) for r in rows]) if rows else np.zeros(COUNTERS, np.int64)
+
+
+def _narrowed(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows whose node may be linked with one of another component.
+
+    In any one order of shingles, two sets that meet the threshold share one of the first n - ceil(n * percent / 100) + 1 of each.
+    The order puts rare ones first, so what many sets have in common is not among them.
+    """
+    nodes = rows.groupBy("node").agg(F.min("comp").alias("comp"))
+    known = nodes.join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).select("node", "comp", "items")
+    counters = rows.sparkSession.sparkContext.broadcast(_counters(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part, first = b.slice(k, 512), []
+                for data in part.column(2):
+                    s = np.frombuffer(data.as_buffer(), np.uint64)
+                    first.append(s[np.lexsort((s, counters.value[(s >> np.uint64(46)).astype(np.int64)]))][: len(s) - -(-len(s) * percent // 100) + 1])
+                n = [len(x) for x in first]
+                node, comp = (np.repeat(part.column(c).to_numpy(), n) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(node), pa.array(comp)], ["item", "node", "comp"])
+
+    prefix = common.materialise(known.mapInArrow(run, "item long, node long, comp long"), "prefixes")
+    mixed = prefix.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("item")
+    return rows.join(prefix.join(mixed, "item", "left_semi").select("node").distinct(), "node", "left_semi").select(*rows.columns)
+
+
+def _open_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int = PER_TASK, per_items: int = ITEMS_PER_TASK) -> DataFrame:
     """Links between components within keys that hold several, tested on full sets where they lie; only links leave a task.
 
-    The rows of a key outside its largest component are compared with all its rows, which are dealt in parts of about per_task;
-    an inverted list of a part's shingles gives all its intersections with a row at once.
+    The rows of a key outside its largest component are compared with all its rows. Both sides are dealt in parts of about per_task
+    rows and per_items shingles, and a task has one part of each; an inverted list of a part's shingles gives all its intersections
+    with a row at once.
     """
+    rows = common.materialise(_narrowed(rows, sets, percent), "narrowed")
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("m")).select(F.col("key").alias("k"), "main", F.ceil(F.col("m") / per_task).cast("int").alias("parts"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("main")).select(F.col("key").alias("k"), "main")
     known = rows.join(main, rows.key == main.k).join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
-    known = known.select("key", "node", "comp", "items", "parts", (F.col("comp") != F.col("main")).alias("outside"))
-    base = known.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("probe"), "node", "comp", "items")
-    probe = known.filter("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("probe"), "node", "comp", "items")
+    known = known.select("key", "node", "comp", "items", (F.col("comp") != F.col("main")).alias("outside"))
+    parts = lambda chosen: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(chosen, F.lit(1.0))), F.lit(0)) / per_task), F.ceil(F.coalesce(F.sum(F.when(chosen, F.length("items") / 8)), F.lit(0)) / per_items)).cast("int")
+    dealt = known.groupBy("key").agg(parts(F.lit(True)).alias("parts"), parts(F.col("outside")).alias("probe_parts")).withColumnRenamed("key", "k")
+    known = known.join(dealt, known.key == dealt.k)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = known.select("key", own("parts").alias("salt"), each("probe_parts").alias("probe_salt"), F.lit(False).alias("probe"), "node", "comp", "items")
+    probe = known.filter("outside").select("key", each("parts").alias("salt"), own("probe_parts").alias("probe_salt"), F.lit(True).alias("probe"), "node", "comp", "items")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own, asks = pdf[~pdf["probe"]], pdf[pdf["probe"]]
@@ -222,7 +274,7 @@ def _open_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int =
                     found += _one_each(node, nodes[ok], comps[ok])
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return base.unionByName(probe).groupBy("key", "salt").applyInPandas(run, "a long, b long").distinct()
+    return base.unionByName(probe).groupBy("key", "salt", "probe_salt").applyInPandas(run, "a long, b long").distinct()
 
 
 def _one_each(node: int, nodes: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:

@@ -87,3 +87,27 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: top(x) for a, b in edges for x in (a, b) if any(p != q for p, q in edges if x in (p, q))}
+
+
+def test_open_links_deal_both_sides(spark, monkeypatch):
+    """Documents of one template that stay in components of their own, and a few pairs of near copies among them."""
+    r = np.random.default_rng(9)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    template, sets = draw(60), {}
+    for i in range(240):
+        sets[i] = np.unique(np.concatenate([template, draw(40)]))
+        if i % 4 == 3:
+            sets[i] = np.unique(np.concatenate([sets[i - 1][:-9], draw(9)]))
+    rows = spark.createDataFrame([(1, i, i) for i in sets], "key long, node long, comp long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, items binary")
+    want = {(i, j) for j in sets for i in range(j) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
+    seen, wrap = [], type(rows.groupBy("key")).applyInPandas
+
+    def watched(self, run, schema):
+        if schema == "a long, b long":
+            seen.append(max(x["count"] for x in self.count().collect()))
+        return wrap(self, run, schema)
+
+    monkeypatch.setattr(type(rows.groupBy("key")), "applyInPandas", watched)
+    assert {tuple(x) for x in N._open_links(rows, table, 80, 20).collect()} == want and len(want) >= 50
+    assert max(seen) <= 90, seen
