@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,26 +24,77 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local master may do without (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
     return found.rstrip("/")
 
 
+#: Folders that this process made and has not deleted yet.
+_MADE: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; deleted at the end of the process, or of the scope(), at the latest."""
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.unregister(_delete_all)
+        atexit.register(_delete_all)
+    _MADE[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _MADE.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_all() -> None:
+    for path, spark in list(_MADE.items()):
+        if spark.sparkContext._jsc is None:  # the session has ended before the process: nothing can be reached any more
+            return
+        _delete(spark, path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialise() wrote for these tables; only for tables on which nothing unwritten depends."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            _delete(t.sparkSession, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all scratch folders made within."""
+    before = set(_MADE)
+    yield
+    for path in [p for p in _MADE if p not in before]:
+        _delete(spark, path)
+
+
+#: Bytes of an Arrow batch on its way to Python, whatever the number of its rows: long texts and packed blocks make large rows.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    _bound_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -75,22 +131,50 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text)
 
 
+CACHES: list[dict] = []
+
+
 class HashCache(dict):
-    """word -> 64-bit hash; emptied when it holds `limit` words, so a worker's memory stays bounded."""
+    """word -> 64-bit hash. Bounded in bytes: emptied at `limit` words, none longer than LONG is kept, and emptied after each task."""
 
-    def __init__(self, limit: int = 1_000_000):
+    LONG = 64
+
+    def __init__(self, limit: int = 250_000):
         self.limit = limit
+        CACHES.append(self)
+
+    def make(self, word) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word) -> int:
+        h = self.make(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
 
 _HASHES = HashCache()
 
 
+def clear_caches() -> None:
+    for c in CACHES:
+        c.clear()
+
+
+def emptied(run):
+    """run, a function over batches, with the worker's caches emptied at its end: Python workers live on and serve other stages."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            clear_caches()
+
+    return outer
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=U64, count=len(words))
 
@@ -135,5 +219,67 @@ def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
-    """Only the columns that an operator needs; a clashing extra column stays out of every join."""
+    """Only the columns that an operator needs; a clashing extra column stays out of every join. Bounds the session's Arrow batches."""
+    _bound_batches(df.sparkSession)
     return df.select("doc_id", "text", *more)
+
+
+def identity() -> list:
+    """What tells rows of (doc_id, text) apart in a few bytes: the id (for a null one a hash of the text), and a hash of the text."""
+    t = F.xxhash64("text")
+    return [F.coalesce("doc_id", t).alias("row_key"), t.alias("text_key")]
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs, with all their columns, of which identity() is (left_anti: is not) in kept (row_key, text_key)."""
+    kept = kept.select(F.col("row_key").alias("quarry_row"), F.col("text_key").alias("quarry_text"))
+    row, text = identity()
+    return docs.join(kept, row.eqNullSafe(kept["quarry_row"]) & text.eqNullSafe(kept["quarry_text"]), how)
+
+
+#: A key counts as hot with one row in HOT: there are HOT such keys at most, a bound of what is broadcast.
+HOT = 2000
+
+
+def join_by_key(rows: DataFrame, right: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with right on `key`, of which right has each once, with its number of rows in `size`.
+
+    The hot keys of right are broadcast, so their rows stay where they are; only the others are shuffled.
+    """
+    least = max(1, total // HOT)
+    hot = F.broadcast(right.filter(F.col(size) > least).withColumnRenamed(key, "quarry_key"))
+    cold = right.filter(F.col(size) <= least).withColumnRenamed(key, "quarry_key")
+    same = F.col(key) == F.col("quarry_key")
+    names = [*rows.columns, *(c for c in right.columns if c != key)]
+    some = rows.join(hot, same).select(*names)
+    rest = rows.join(hot.select("quarry_key"), same, "left_anti").join(cold, same, how).select(*names)
+    return some.unionByName(rest)
+
+
+PARTS, _CHUNK, _FAN = "part long, chunk int, data binary", 1 << 15, 64
+
+
+def parts_of_sum(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's share of a sum of counts (int64), in chunks; nothing where all are zero."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for k in range(0, len(total), _CHUNK):
+        piece = total[k : k + _CHUNK]
+        if piece.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([k // _CHUNK], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["part", "chunk", "data"])
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum over all tasks' PARTS, by a tree: no task adds up more than _FAN pieces of a chunk, and the driver one for each _FAN ** 2 tasks."""
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "chunk": [key[1]], "data": [sum(np.frombuffer(x, np.int64) for x in pdf["data"]).tobytes()]}).astype({"part": "int64", "chunk": "int32"})
+
+    for _ in range(2):
+        rows = rows.groupBy(F.floor(F.col("part") / _FAN).alias("part"), "chunk").applyInPandas(add, PARTS)
+    out = np.zeros(size, np.int64)
+    for r in rows.collect():
+        piece = np.frombuffer(r.data, np.int64)
+        out[r.chunk * _CHUNK : r.chunk * _CHUNK + len(piece)] += piece
+    return out

@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.materialise(now, "edges")
     mark = _mark(now)
     while mark[0]:
-        now = common.materialise(_stars(now), "edges")
+        old, now = now, common.materialise(_stars(now), "edges")
+        common.release(old)
         new = _mark(now)
         if new == mark:
             break
