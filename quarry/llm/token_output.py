@@ -1,11 +1,14 @@
 """Token-ID / binary output: one array of ids per shard, with Elias-Fano coded document boundaries.
 
 Documents are range-partitioned and sorted by doc_id; each partition streams its ids to one file in the shared folder and
-closes it with the boundaries in Elias-Fano form. The n boundaries of a universe of u tokens take n * (2 + log2(u / n)) bits,
-and select() finds the i-th through one sampled popcount per 512 bits, so no table of 64-bit offsets exists.
-
-Defined results: a null or empty text is a document of one token, the end id; a null doc_id sorts first; repeated rows are
-written once each; an empty table gives no shard and no rows; other columns are never read.
+closes it with the boundaries in Elias-Fano form, and with the doc_ids, which ascend as well, in another such sequence. n values up
+to u take n * (2 + log2(u / n)) bits. select() finds the i-th by a binary search over sampled counts of ones and a popcount within
+512 bits; selects() does so for a run of neighbours, BLOCK values at a time. All reading goes through them: no table of 64-bit
+offsets exists on disk or in memory.
+
+A shard is about SHARD_BYTES of text, whatever the size of the table. Defined results: a null or empty text is a document of one
+token, the end id; a null doc_id sorts first; repeated rows are written once each; an empty table gives no shard and no rows; very
+long texts are encoded whole, and a shard may then be larger; other columns are never read.
 """
 
 from __future__ import annotations
@@ -15,22 +18,24 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-MAGIC = b"QTOK\x01\x00\x00\x00"
+MAGIC = b"QTOK\x02\x00\x00\x00"
 END_ID = 1
-_NULL_ID = -(1 << 63)
+SHARD_BYTES = 256 << 20
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers up to u in about n * (2 + log2(u / n)) bits, with select in constant time."""
+    """A non-decreasing sequence of n integers from 0 to u in about n * (2 + log2(u / n)) bits, with random access."""
 
     BLOCK = 512
 
@@ -46,14 +51,16 @@ class EliasFano:
         v = np.asarray(values, dtype=np.uint64)
         n, u = len(v), int(v[-1]) + 1 if len(v) else 1
         width = max(0, (u // max(1, n)).bit_length() - 1)
-        if width:
-            low_bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            low = np.packbits(low_bits.ravel(), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
-        at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(at[-1]) // 8 + 1 if n else 0, np.uint8)
-        np.bitwise_or.at(high, at // 8, (1 << (at % 8)).astype(np.uint8))
+        low = np.zeros(-(-n * width // 8), np.uint8)
+        high = np.zeros(((int(v[-1]) >> width) + n - 1) // 8 + 1 if n else 0, np.uint8)
+        for i in range(0, n, 1 << 16):  # so many at a time; a multiple of eight, so each begins at a whole byte
+            part = v[i : i + (1 << 16)]
+            if width:
+                bits = ((part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+                packed = np.packbits(bits.ravel(), bitorder="little")
+                low[i * width // 8 : i * width // 8 + len(packed)] = packed
+            at = (part >> np.uint64(width)).astype(np.int64) + np.arange(i, i + len(part))
+            np.bitwise_or.at(high, at // 8, (1 << (at % 8)).astype(np.uint8))
         return cls(n, width, low, high)
 
     def select(self, i: int) -> int:
@@ -71,14 +78,26 @@ class EliasFano:
             value |= int((bits.astype(np.int64) << np.arange(self.width)).sum())
         return value
 
-    def decode(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.int64) << self.width
+    def selects(self, i: int, j: int) -> np.ndarray:
+        """The values from the i-th up to, but without, the j-th; both within n."""
+        if i >= j:
+            return np.empty(0, np.int64)
+        block = int(np.searchsorted(self._before, i, side="right")) - 1
+        to = int(np.searchsorted(self._before, j - 1, side="right"))
+        part = np.unpackbits(self.high[block * self.BLOCK // 8 : to * self.BLOCK // 8], bitorder="little")
+        skip = i - int(self._before[block])
+        at = block * self.BLOCK + np.flatnonzero(part)[skip : skip + j - i]
+        out = (at - np.arange(i, j)) << self.width
         if self.width:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
-            out |= (bits.astype(np.int64) << np.arange(self.width)).sum(1)
+            first = i * self.width
+            bits = np.unpackbits(self.low[first // 8 : (j * self.width + 7) // 8], bitorder="little")[first % 8 : first % 8 + (j - i) * self.width]
+            out |= (bits.reshape(j - i, self.width).astype(np.int64) << np.arange(self.width)).sum(1)
         return out
 
+    def __iter__(self) -> Iterator[int]:
+        for i in range(0, self.n, self.BLOCK):
+            yield from self.selects(i, min(self.n, i + self.BLOCK)).tolist()
+
     def tobytes(self) -> bytes:
         return struct.pack("<QIQQ", self.n, self.width, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
 
@@ -100,7 +119,7 @@ class WordEncoder:
     turn. New words go through the library; the memory is emptied at `limit` words.
     """
 
-    def __init__(self, path: str, dtype=np.uint16, limit: int = 1_500_000):
+    def __init__(self, path: str, dtype=np.uint16, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.dtype, self.limit = Tokenizer.from_file(path), dtype, limit
@@ -184,28 +203,32 @@ class ShardWriter:
         self.fs.create_dir(self.root, recursive=True)
         self.final = f"{self.root}/{name}"
         self.part = f"{self.root}/.{name}.{uuid.uuid4().hex}"
-        self.out, self.width, self.lengths, self.ids = self.fs.open_output_stream(self.part), width, [], []
+        self.out, self.width, self.ends, self.ids, self.nulls = self.fs.open_output_stream(self.part), width, array("q"), array("q"), 0
         self.out.write(MAGIC)
 
     def add(self, doc_id: int | None, data: bytes) -> None:
+        """Documents come in ascending order of doc_id, those without one first."""
         self.out.write(data)
-        self.lengths.append(len(data) // self.width)
-        self.ids.append(_NULL_ID if doc_id is None else doc_id)
+        self.ends.append((self.ends[-1] if self.ends else 0) + len(data) // self.width)
+        if doc_id is None:
+            self.nulls += 1
+        else:
+            self.ids.append(doc_id)
 
     def close(self) -> tuple[int, int]:
-        ends = np.cumsum(np.array(self.lengths, np.int64))
-        index = EliasFano.encode(ends).tobytes()
-        docs = np.array(self.ids, "<i8").tobytes()
-        self.out.write(index + docs + struct.pack("<QQQI", len(index), len(self.ids), int(ends[-1]), self.width))
+        least, n = self.ids[0] if self.ids else 0, len(self.ends)
+        ends = EliasFano.encode(np.frombuffer(self.ends, np.int64)).tobytes()
+        ids = EliasFano.encode(np.frombuffer(self.ids, np.int64).astype(np.uint64) - np.uint64(least & (1 << 64) - 1)).tobytes()  # distances wrap as two's complements do
+        self.out.write(ends + ids + struct.pack("<QQQqQQI", len(ends), len(ids), n, least, self.nulls, self.ends[-1], self.width))
         self.out.close()
         self.fs.move(self.part, self.final)  # a repeated task puts the same bytes in the same place
-        return len(self.ids), int(ends[-1])
+        return n, self.ends[-1]
 
 
 class ShardReader:
-    """Random access to one shard's documents; boundaries come from Elias-Fano select."""
+    """Random access to one shard's documents; boundaries and doc_ids come from Elias-Fano selects."""
 
-    TAIL = struct.calcsize("<QQQI")
+    TAIL = struct.calcsize("<QQQqQQI")
 
     def __init__(self, uri: str):
         self.fs, self.path = fs.FileSystem.from_uri(uri)
@@ -213,10 +236,13 @@ class ShardReader:
         if self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         size = self.file.size()
-        n_index, self.n_docs, self.n_tokens, self.width = struct.unpack("<QQQI", self.file.read_at(self.TAIL, size - self.TAIL))
-        docs_at = size - self.TAIL - 8 * self.n_docs
-        self.doc_ids = np.frombuffer(self.file.read_at(8 * self.n_docs, docs_at), "<i8")
-        self.ends = EliasFano.frombytes(self.file.read_at(n_index, docs_at - n_index))
+        n_ends, n_ids, self.n_docs, self.least, self.nulls, self.n_tokens, self.width = struct.unpack("<QQQqQQI", self.file.read_at(self.TAIL, size - self.TAIL))
+        at = size - self.TAIL - n_ids - n_ends
+        self.ends = EliasFano.frombytes(self.file.read_at(n_ends, at))
+        self.ids = EliasFano.frombytes(self.file.read_at(n_ids, at + n_ends))
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.least + self.ids.select(i - self.nulls)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document of the shard."""
@@ -226,17 +252,20 @@ class ShardReader:
     def _ids(self, lo: int, hi: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((hi - lo) * self.width, len(MAGIC) + lo * self.width), f"<u{self.width}")
 
-    def scan(self, step: int = 1 << 22) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, first token in the shard, ids) of each document; reads about `step` tokens at a time."""
-        ends, at = self.ends.decode(), 0
+    def scan(self, step: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, first token in the shard, ids) of each document; selects a block of boundaries and reads about `step` tokens at a time."""
+        n, at, lo = EliasFano.BLOCK, 0, 0
+        ids = iter(self.ids)
         while at < self.n_docs:
-            lo = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, lo + step, side="right")))
-            ids = self._ids(lo, int(ends[to - 1]))
-            for i in range(at, to):
-                a = int(ends[i - 1]) if i else 0
-                yield None if self.doc_ids[i] == _NULL_ID else int(self.doc_ids[i]), a, ids[a - lo : int(ends[i]) - lo]
-            at = to
+            ends = self.ends.selects(at, min(self.n_docs, at + n))
+            first = 0
+            while first < len(ends):
+                to = max(first + 1, int(np.searchsorted(ends, lo + step, side="right")))
+                data, begin = self._ids(lo, int(ends[to - 1])), lo
+                for end in ends[first:to].tolist():
+                    yield None if at < self.nulls else self.least + (next(ids) & (1 << 64) - 1), lo, data[lo - begin : end - begin]
+                    at, lo = at + 1, end
+                first = to
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, shards: int | None = None) -> tuple[str, list[dict]]:
@@ -263,7 +292,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
             n_docs, n_tokens = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["shard", "n_docs", "n_tokens"])
 
-    n = shards or common.parallelism(spark)
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(common.parallelism(spark), -(-size // SHARD_BYTES))
+    n = shards
     rows = common.documents(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "shard int, n_docs long, n_tokens long").collect()
     start, entries = 0, []
     for r in sorted(rows, key=lambda r: r.shard):

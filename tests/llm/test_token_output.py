@@ -18,7 +18,10 @@ ODD = ["", "  ", "The CAFÉ café  x y z", "it's <|startoftext|>now<|endofte
 def test_elias_fano(gaps):
     ends = np.cumsum(np.array(gaps, np.int64))
     e = T.EliasFano.frombytes(T.EliasFano.encode(ends).tobytes())
-    assert e.decode().tolist() == ends.tolist()
+    assert list(e) == ends.tolist()
+    for i, j in ((0, len(ends)), (1, len(ends)), (len(ends) // 3, len(ends) // 2), (700, 701)):
+        if j <= len(ends):
+            assert e.selects(i, j).tolist() == ends[i:j].tolist()
     for i in range(0, len(ends), 37):
         assert e.select(i) == ends[i]
     with pytest.raises(IndexError):
@@ -57,6 +60,23 @@ def test_round_trip(spark, tmp_path):
     assert T.token_digests(spark, entries).count() == len(rows)
 
 
+def test_shard_of_any_ids(tmp_path):
+    w = T.ShardWriter(f"file://{tmp_path}", "s", 2)
+    ids = [None, None, -(1 << 63), -5, -5, 0, 3, (1 << 63) - 1]
+    for k, i in enumerate(ids):
+        w.add(i, b"ab" * (k % 3))
+    assert w.close() == (8, 7)
+    r = T.ShardReader(f"file://{tmp_path}/s")
+    assert [x[0] for x in r.scan(2)] == ids == [r.doc_id(i) for i in range(8)]
+    assert [(x[1], len(x[2])) for x in r.scan(2)] == [(0, 0), (0, 1), (1, 2), (3, 0), (3, 1), (4, 2), (6, 0), (6, 1)]
+
+
+def test_shards_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_BYTES", 100)
+    _, entries = T.write_tokens(spark.createDataFrame([(i, "a b c d e") for i in range(200)], "doc_id long, text string"), PATH, f"file://{tmp_path}/t")
+    assert len(entries) == 18 and sum(e["n_docs"] for e in entries) == 200
+
+
 def test_empty_table(spark, tmp_path):
     _, entries = T.write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH, f"file://{tmp_path}/t")
     assert entries == []
