@@ -66,3 +66,62 @@ def test_probabilities_sum_to_one():
     sizes = r.integers(1, 99, L.WIDTH)
     p = 10 ** L.transition_logs(r.integers(0, 9, (L.WIDTH, L.WIDTH)), sizes, 0.03)
     assert np.allclose(p.sum(1), 1)
+
+
+def test_score_by_hand(spark):
+    """The score of each text from the words' classes alone, by counting."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = L.common.materialise(L._blocks(df, 2_000), "b")
+    classes = {}
+    answers = L.common.materialise(L.clustered(blocks, 3), "a")
+    told = {}
+    for r in sorted(answers.filter("block is not null").collect(), key=lambda r: r.bucket):
+        told.setdefault(r.block, []).append(L._unpack(r.classes, np.uint8))
+    for b in blocks.collect():
+        classes |= dict(zip(np.frombuffer(b.words, np.uint64).tolist(), np.concatenate(told[b.block]).tolist(), strict=True))
+    of = lambda w: classes[int(L.END) if w is None else L.common.word_hashes([w]).tolist()[0]]
+    train = [toks(t) for i, t in rows if not L.held_out(i)]
+    count = Counter(w for t in train for w in t)
+    n, once = sum(count.values()), sum(x == 1 for x in count.values())
+    assert set(of(w) for w in count) <= {*range(L.CLASSES), L.END_CLASS} and len(set(of(w) for w in count)) > 4
+    size, moves = Counter(), Counter()
+    for t in train:
+        for a, w in zip([None, *t[:-1]], t, strict=True):
+            size[of(w)] += 1
+            moves[of(a), of(w)] += 1
+    unknown = min(0.5, (once + 1) / (n + 2))
+
+    def score(text):
+        total, before = 0.0, L.END_CLASS
+        for w in toks(text):
+            if w not in count:
+                total, before = total + math.log10(unknown), L.UNKNOWN
+                continue
+            c = of(w)
+            seen = sum(x for (a, b), x in moves.items() if a == before)
+            p = (1 - unknown) * (moves[before, c] + L.SMOOTH * size[c] / n) / (seen + L.SMOOTH)
+            total, before = total + math.log10(p) + math.log10(count[w] / size[c]), c
+        return total
+
+    got = L.score(df, 2_000, 20_000).collect()
+    want = sorted(((i, len(toks(t)), score(t)) for i, t in rows), key=str)
+    for (i, k, x), r in zip(want, sorted(got, key=lambda r: str((r.doc_id, r.n_tokens, r.score))), strict=True):
+        assert (i, k) == (r.doc_id, r.n_tokens)
+    by = lambda rows: sorted((str(i), k, round(x, 5)) for i, k, x in rows)
+    assert by((r.doc_id, r.n_tokens, r.score) for r in got) == by(want)
+
+
+def test_best_class_is_the_likeliest():
+    r = np.random.default_rng(8)
+    words, classes = 30, 4
+    b = r.integers(0, 5, (words + 2, words + 2)).astype(float)
+    of = np.concatenate([r.integers(0, classes, words), [classes, classes + 1]])
+    member = lambda of: np.eye(classes + 2)[of]
+    grams = lambda of: member(of).T @ b @ member(of)
+    own = np.diag(b)[:words]
+    free = b - np.diag(np.diag(b))
+    got = L.best_classes(grams(of), of[:words], (member(of).T @ free).T[:words], (free @ member(of))[:words], own, classes)
+    for w in range(words):
+        value = [L.likelihood(grams(np.concatenate([of[:w], [c], of[w + 1 :]]))) for c in range(classes)]
+        assert got[w] == int(np.argmax(value)) or abs(value[got[w]] - max(value)) < 1e-6
