@@ -6,13 +6,15 @@ the same place of the span. Document fingerprints are joined with the items', an
 are compared in full, and the words of matching windows are marked. Items shorter than WINDOW words are windows of their own
 and are looked up whole, length by length.
 
-The items' tables (fingerprints and windows, 16 bytes each) go to the tasks in blocks of at most MAX_BLOCK windows, a bound
-checked by count; with more items there is one pass over the documents for each block and the marks of all passes are united.
+Where the items have at most `max_windows` windows and as many bytes of text as that stands for (both summed up before anything
+is fetched), their tables are made once and broadcast, and the join is a probe of the sorted fingerprints. With more, nothing is
+broadcast: fingerprints of documents and items are shuffled and semi-joined by value, the windows around hits by their hash.
 Words are compared by 64-bit hash.
 
 Defined results: null has no words; an item without words matches nothing; repeated rows of items count once, repeated
-documents are judged each; a null item_id is left out of the ids; an empty table of documents or items gives no rows or no
-hits; very long texts are handled whole; extra columns are not read.
+documents are judged each; a null item_id is left out of the ids but its windows hit; an empty table of documents or items gives no
+rows or no hits; very long texts are handled whole; extra columns are not read by judge() and pass through clean(), whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
 
 WINDOW, K = 13, 8
-MAX_BLOCK = 2_000_000
+MAX_WINDOWS, BYTES_PER_WINDOW = 1_000_000, 64
 #: Words: runs without ASCII characters that are neither digits nor letters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BLANK = {i: 32 for i in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]} | {i: i + 32 for i in range(65, 91)}
@@ -42,14 +45,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ") if text else []
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w)
-        return h
+class _Hashes(common.HashCache):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 _HASHES = _Hashes()
@@ -74,6 +72,16 @@ def winnow(h: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray,
     return at, g[at]
 
 
+def windows_around(h: np.ndarray, at: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows that hold a whole gram at one of the places `at`."""
+    near = (at[:, None] - np.arange(window - k + 1)).ravel()
+    near = np.unique(near[(near >= 0) & (near <= len(h) - window)])
+    whole = h[near].copy()
+    for i in range(1, window):
+        whole = whole * common._BASE + h[near + i]
+    return near, common.mix(whole + np.uint64(window))
+
+
 class Items:
     """The windows of a block of items, by fingerprint and in full."""
 
@@ -102,18 +110,15 @@ class Items:
     def marks(self, h: np.ndarray) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items of which some window occurs."""
         hit, found = np.zeros(len(h), bool), set()
+        self.whole = False  # whether a full window is among the hits
         if len(h) >= self.window and len(self.prints):
             at, prints = winnow(h, self.window, self.k)
             at = at[self._within(self.prints, prints)]
-            if len(at):  # a window holds the whole gram: it starts at most window - k words before it
-                near = (at[:, None] - np.arange(self.window - self.k + 1)).ravel()
-                near = np.unique(near[(near >= 0) & (near <= len(h) - self.window)])
-                whole = h[near].copy()
-                for i in range(1, self.window):
-                    whole = whole * common._BASE + h[near + i]
-                whole = common.mix(whole + np.uint64(self.window))
+            if len(at):
+                near, whole = windows_around(h, at, self.window, self.k)
                 ok = self._within(self.keys, whole)
                 hit |= common.cover(near[ok], self.window, len(h))
+                self.whole = bool(ok.any())
                 for x in set(whole[ok].tolist()):
                     found |= self.of[x]
         for n, (of, keys) in self.short.items():
@@ -130,114 +135,142 @@ def items_digest(items) -> str:
     return hashlib.sha256(",".join(sorted({str(i) for i in items if i is not None})).encode()).hexdigest()
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple]]:
-    """The items in blocks of at most `most` windows (an item is at least one window); fetched block by block."""
-    items = benchmark.select("item_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0).distinct()
-    out, size = [[]], 0
-    for r in items.toLocalIterator():
-        n = max(1, len(words_of(r.text)) - WINDOW + 1)
-        if out[-1] and size + n > most:
-            out, size = [*out, []], 0
-        out[-1].append((r.item_id, r.text))
-        size += n
-    return out
+def _worded(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0).distinct()
+
+
+def _small(items: DataFrame, most: int) -> bool:
+    """Whether all items have at most `most` windows and a bounded text: separators bound the words, so the JVM can sum both up."""
+    words = F.length(F.regexp_replace("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")) + 1
+    n, size = items.agg(F.sum(words), F.sum(F.octet_length("text"))).first()
+    return (n or 0) <= most and (size or 0) <= most * BYTES_PER_WINDOW
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _row(doc_id, n: int, hit: np.ndarray | int, items) -> tuple:
-    k = int(np.count_nonzero(hit)) if isinstance(hit, np.ndarray) else hit
+_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+
+
+def _row(doc_id, n: int, hit: int, items) -> tuple:
     items = {i for i in items if i is not None}
-    return doc_id, n, k, len(items), items_digest(items), k > 0 and 20 * k >= n
+    return doc_id, n, hit, len(items), items_digest(items), hit > 0 and 20 * hit >= n
 
 
-def _arrays(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of docs."""
-    blocks = _blocks(benchmark, max_block)
-    docs = common.documents(docs)
-    if len(blocks) == 1:
-        return docs.mapInArrow(_single(docs.sparkSession.sparkContext.broadcast(blocks[0])), SCHEMA)
-    return _many(docs, blocks)
+    items, docs = _worded(benchmark), common.documents(docs)
+    if not _small(items, max_windows):
+        return _joined(docs, items).select(*_NAMES)
+    known = docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in items.collect()]))
 
-
-def _single(items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items(items.value)
+        own = known.value
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part, rows = b.slice(k, 1024), []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h = hashes_of(text)
-                    rows.append(_row(i, len(h), *own.marks(h)))
-                yield _arrays(rows)
-
-    return run
-
-
-def _many(docs: DataFrame, blocks: list[list[tuple]]) -> DataFrame:
-    """One pass for each block; a row's marks travel as a bit map, once for each block that hits it."""
-    from functools import reduce
+                for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = hashes_of(text.as_py())
+                    hit, found = own.marks(h)
+                    rows.append(_row(i, len(h), int(np.count_nonzero(hit)), found))
+                yield _batch(rows, _NAMES, _KINDS)
 
-    spark = docs.sparkSession
-    keyed = common.materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    return docs.mapInArrow(common.emptied(run), SCHEMA)
 
-    def marks(items):
-        def run(batches):
-            own = Items(items.value)
-            for b in batches:
-                rows = []
-                for row, text in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    hit, found = own.marks(hashes_of(text))
-                    if found:
-                        rows.append((row, np.packbits(hit).tobytes(), [i for i in found if i is not None]))
-                cols = list(zip(*rows, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64()))], ["hit_row", "bits", "items"])
 
-        return run
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """judge() by shuffles alone, with row_key, text_key and `whole`, whether a full window is among a row's hits.
 
-    passes = [keyed.mapInArrow(marks(spark.sparkContext.broadcast(b)), "hit_row long, bits binary, items array<long>") for b in blocks]
-    hits = reduce(DataFrame.unionByName, passes).groupBy("hit_row").agg(F.collect_list("bits").alias("bits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    joined = keyed.join(hits, keyed.row == hits.hit_row, "left").select("doc_id", "text", "bits", "items")
+    Rows go through the joins as (row, place, hash): fingerprints first; where one is also an item's, the windows around it; and
+    these again where an item has them. Items shorter than a window are looked up by grams of their own lengths.
+    """
+    keyed = common.materialise(docs.select(*common.identity(), "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "decontaminate")
 
-    def finish(batches):
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = hashes_of(text.as_py())
+                if not len(h):
+                    continue
+                n = min(len(h), WINDOW)
+                whole = np.unique(common.gram_hashes(h, n))
+                prints = np.unique(winnow(h)[1]) if n == WINDOW else whole[:0]
+                size = len(whole) + len(prints)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None if k is None else str(k)] * size, pa.string()), pa.array([n] * len(whole) + [0] * len(prints), pa.int32()), pa.array(np.concatenate([whole, prints]).view(np.int64))], ["item", "n", "hash"]
+                )
+
+    known = common.materialise(items.mapInArrow(common.emptied(of_items), "item string, n int, hash long").distinct(), "item-windows")
+    short = sorted(r.n for r in known.filter((F.col("n") > 0) & (F.col("n") < WINDOW)).select("n").distinct().collect())  # 12 lengths at most
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = hashes_of(text.as_py())
+                parts = [(0, *winnow(h))] if len(h) >= WINDOW else []
+                parts += [(n, np.arange(len(h) - n + 1), common.gram_hashes(h, n)) for n in short if len(h) >= n]
+                for n, at, x in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(np.full(len(at), n, np.int32)), pa.array(at), pa.array(x.view(np.int64))], ["row", "n", "at", "hash"])
+
+    places = "row long, n int, at long, hash long"
+    asked = keyed.select("row", "text").mapInArrow(common.emptied(of_docs), places)
+    met = common.materialise(asked.join(known.select("n", "hash").distinct(), ["n", "hash"], "left_semi"), "fingerprint-hits")
+    printed = met.filter("n = 0").groupBy("row").agg(F.collect_set("at").alias("at")).withColumnRenamed("row", "hit_row")  # places of one text
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                near, whole = windows_around(hashes_of(text.as_py()), at.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), row)), pa.array(np.full(len(near), WINDOW, np.int32)), pa.array(near), pa.array(whole.view(np.int64))], ["row", "n", "at", "hash"])
+
+    near = keyed.join(printed, F.col("row") == F.col("hit_row")).select("row", "text", "at").mapInArrow(common.emptied(extend), places)
+    windows = near.join(known.filter(F.col("n") == WINDOW).select("hash").distinct(), "hash", "left_semi").select("row", "n", "at", "hash")
+    hits = common.materialise(windows.unionByName(met.filter("n > 0").select("row", "n", "at", "hash")), "window-hits")
+    marks = hits.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.bool_or(F.col("n") == WINDOW).alias("whole")).withColumnRenamed("row", "r1")
+    found = hits.select("row", "n", "hash").distinct().join(known, ["n", "hash"]).filter("item is not null").groupBy("row").agg(F.collect_set("item").alias("items")).withColumnRenamed("row", "r2")
+    joined = keyed.join(marks, F.col("row") == F.col("r1"), "left").join(found, F.col("row") == F.col("r2"), "left")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text, bits, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(hashes_of(text))
+            for row_key, text_key, i, text, at, whole, items in zip(*b.columns[:3], b.column(3), *b.columns[4:], strict=True):
+                n = len(hashes_of(text.as_py()))
                 hit = np.zeros(n, bool)
-                for x in bits or []:
-                    hit |= np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool)
-                rows.append(_row(i, n, hit, items or []))
-            yield _arrays(rows)
+                for x in at.as_py() or []:
+                    hit[x["at"] : x["at"] + x["n"]] = True
+                rows.append((*_row(i.as_py(), n, int(np.count_nonzero(hit)), items.as_py() or []), row_key.as_py(), text_key.as_py(), bool(whole.as_py())))
+            yield _batch(rows, [*_NAMES, "row_key", "text_key", "whole"], [*_KINDS, pa.int64(), pa.int64(), pa.bool_()])
+
+    return joined.select("row_key", "text_key", "doc_id", "text", "hits", "whole", "items").mapInArrow(common.emptied(finish), SCHEMA + ", row_key long, text_key long, whole boolean")
 
-    return joined.mapInArrow(finish, SCHEMA)
 
+def clean(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark passage.
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated."""
-    blocks = _blocks(benchmark, max_block)
-    if len(blocks) > 1:
-        bad = _many(common.documents(docs), blocks).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
-    items, at = docs.sparkSession.sparkContext.broadcast(blocks[0]), docs.columns.index("text")
+    A passage is one full window of an item, however long the document: a twentieth of its words, as judge() has it, would let
+    passages through in long documents. Items shorter than a window are often common phrases and count as judge() counts them.
+    """
+    items = _worded(benchmark)
+    if not _small(items, max_windows):
+        bad = _joined(common.documents(docs), items).filter("whole or contaminated").select("row_key", "text_key")
+        return common.kept_rows(docs, common.materialise(bad.distinct(), "contaminated"), "left_anti")
+    known, at = docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in items.collect()])), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items(items.value)
+        own = known.value
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part, ok = b.slice(k, 1024), []
-                for text in part.column(at).to_pylist():
-                    h = hashes_of(text)
+                for text in part.column(at):
+                    h = hashes_of(text.as_py())
                     n = int(np.count_nonzero(own.marks(h)[0]))
-                    ok.append(not (n > 0 and 20 * n >= len(h)))
+                    ok.append(not (own.whole or n > 0 and 20 * n >= len(h)))
                 yield part.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.emptied(run), docs.schema)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,7 +56,29 @@ def test_rows(spark):
         b = spark.createDataFrame(items, "item_id long, text string")
         want = brute(docs, items)
         assert sorted(map(tuple, C.judge(d, b).collect()), key=str) == want
-        assert sorted(map(tuple, C.judge(d, b, max_block=20).collect()), key=str) == want
+        assert sorted(map(tuple, C.judge(d, b, max_windows=20).collect()), key=str) == want
         if not seed:
-            assert C.judge(d.limit(0), b).collect() == []
+            assert C.judge(d.limit(0), b).collect() == C.judge(d.limit(0), b, max_windows=0).collect() == []
             assert {r.n_hit for r in C.judge(d, b.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("most", [C.MAX_WINDOWS, 20])
+def test_clean(spark, most):
+    """Whatever the path, rows go by their own text: ids may be null or repeat, and extra columns may have any name."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    long, fine = "x y z " * 400 + passage, "nothing of that kind"
+    rows = [(None, long, 1), (None, fine, 2), (7, passage[3:], 3), (7, fine, 4), (8, fine, 5), (9, None, 6), (10, "", 7), (11, "short one", 8), (12, "a short one " + "b " * 90, 9), (8, fine, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    b = spark.createDataFrame([(1, passage), (2, "short one"), (None, "u " * 30), (4, "v " * 40)], "item_id long, text string")
+    got = C.clean(d, b, max_windows=most)
+    assert got.columns == d.columns and sorted(r.row for r in got.collect()) == [2, 4, 5, 5, 6, 7, 9]
+    assert C.clean(d.limit(0), b, max_windows=most).collect() == []
+    assert C.clean(d, b.limit(0), max_windows=most).count() == len(rows)
+
+
+def test_items_of_any_id_type(spark):
+    d = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    b = spark.createDataFrame([("k-2", "two"), ("k-10", "three")], "item_id string, text string")
+    sha = hashlib.sha256(b"k-10,k-2").hexdigest()
+    for most in (C.MAX_WINDOWS, 0):
+        assert [(r.n_hit, r.items_sha256) for r in C.judge(d, b, max_windows=most).collect()] == [(2, sha)]
