@@ -8,8 +8,9 @@ rebuilds the filter at twice the size from the stored keys. The finished buckets
 insert() and reduced by delete(), each one co-grouped with its bucket.
 
 Defined results: null counts as the empty text; of equal texts the one with the most code points stays, then the smallest doc_id
-(a null doc_id after all others); repeated rows count in group_size and keep the same fate; an empty table gives no rows; extra
-columns are not read.
+(a null doc_id after all others); repeated rows count in group_size and keep the same fate in dedup(), and keep() leaves one of
+them; an empty table gives no rows; extra columns are not read by dedup() and pass through keep(), whatever their names; very long
+texts are hashed whole on the JVM.
 """
 
 from __future__ import annotations
@@ -138,9 +139,13 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), common.SPACE, "")
 
 
+def _digest_columns() -> list:
+    return ["doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")]
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars (code points of the original text) and the digest of each row, all on the JVM."""
-    return docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    return docs.select(*_digest_columns())
 
 
 def _bucket(digest: Column, buckets: int) -> Column:
@@ -213,21 +218,29 @@ def delete(index: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
     return _merge(index, rows.select("digest").distinct().select(_bucket(F.col("digest"), buckets).alias("bucket"), "digest"), act)
 
 
+def _indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' digests, and the same with what the index says of them."""
+    own = common.documents(docs)
+    rows = common.materialise(own.select(*common.identity(), "*").select("row_key", "text_key", *_digest_columns()), "digests")
+    index = common.materialise(build_index(rows, buckets_for(rows)), "cuckoo-index")
+    right = index.select("digest", "keep_id", "group_size", F.col("n_chars").alias("keep_chars"))
+    return rows, common.join_by_key(rows, right, "digest", "group_size", rows.count())
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    rows = common.materialise(digests(common.documents(docs)), "digests")
-    buckets = buckets_for(rows)
-    index = common.materialise(build_index(rows, buckets), "cuckoo-index")
-    # Rows are a few dozen bytes; a digest of very many rows makes a skewed partition, which adaptive execution splits.
-    right = index.select(F.col("digest").alias("d"), "keep_id", "group_size")
+    _, told = _indexed(docs)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.join(right, rows.digest == right.d).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return told.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated as a whole, one."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    digest = F.sha2(normalised(F.col("text")), 256)
-    rows = docs.withColumn("own_sha", digest)
-    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["own_sha"] == kept["kept_sha"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "own_sha"]).select(*docs.columns)
+    """The rows of docs that stay, with all their columns: of each group of equal texts one, also where ids are null or repeat."""
+    rows, told = _indexed(docs)
+    first = told.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
+    best = first.groupBy("digest").agg(F.min(F.struct("row_key", "text_key")).alias("first")).select("first.row_key", "first.text_key")
+    kept = common.materialise(best, "kept")
+    out = common.kept_rows(docs, kept)
+    if rows.groupBy("row_key", "text_key").count().filter("count > 1").take(1):
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out

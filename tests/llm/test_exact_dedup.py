@@ -64,3 +64,19 @@ def test_insert_and_delete(spark):
     assert got == {sha("x"): (3, 2, 2), sha("y"): (4, 3, 2), sha("z"): (5, 1, 1)}
     left = D.delete(index, make([(9, "x"), (9, "none")]), 3)
     assert {bytes(r.digest) for r in left.collect()} == {sha("y"), sha("z")}
+
+
+def test_keep(spark):
+    rows = [(None, "a b", 1), (4, "ab", 2), (4, "a  b", 3), (5, "x", 4), (5, "y", 5), (None, "q", 6), (None, "q", 6), (None, "r", 7), (6, None, 8), (7, " ", 9), (8, "x", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_sha long")
+    got = D.keep(df)
+    assert got.columns == df.columns and sorted(r.own_sha for r in got.collect()) == [3, 4, 5, 6, 7, 9]
+    assert D.keep(df.limit(0)).collect() == []
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"t{i // 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 3, 100_000):
+        monkeypatch.setattr(D.common, "HOT", hot)
+        assert sorted(map(tuple, D.dedup(df).collect()), key=str) == brute(rows)
