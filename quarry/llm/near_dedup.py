@@ -5,8 +5,8 @@ hash that falls there, the count of leading zeros (6 bits) and the next MANTISSA
 from others by a fixed random order, so any register of two sets agrees with a chance of their similarity. BANDS bands of ROWS
 registers are the join keys: two sets with a similarity of 0.8 miss each other in all bands with a chance of 1.3e-7.
 
-Documents with one set form a class, of which the least doc_id stands for all. Classes that share a band are candidates; the
-collision-corrected similarity of the sketches prunes them and the full sets decide. In a band key of up to ALL_PAIRS classes all
+Documents with one set form a class, a node with a number of its own; the sets of classes that share a band are computed once, from
+one of their documents. Classes that share a band are candidates; the collision-corrected similarity of the sketches prunes them and the full sets decide. In a band key of up to ALL_PAIRS classes all
 pairs are candidates. In a larger one each class meets a leader instead, and after links have been joined to components, only
 classes of other components meet the next leader; in keys that still hold several components after LEADERS rounds, those outside
 the largest are compared with all by inverted lists, after a prefix filter, in a grid of parts of both sides with a bounded number
@@ -14,8 +14,9 @@ of sets and shingles, and only links leave the task. So a large group of near co
 left untested always lies in one component already.
 
 Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
-shingle; a row with a null doc_id shares its class but stands for none; rows that repeat a doc_id are one node; an empty table
-gives no rows; extra columns are not read; very long texts are handled whole.
+shingle; a row with a null doc_id belongs to the component of its text, and has a null component_id where no row of that has an id;
+rows that repeat a doc_id are judged each by its text; an empty table gives no rows; extra columns are not read by
+near_duplicates() and pass through keep(), whatever their names; very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -90,20 +91,22 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set, and the sketch of each row."""
+    names = ["doc_id", "row_key", "text_key", "n_shingles", "set_key", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 size, key, sk = [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingles(text, n)
+                for text in part.column(3):
+                    s = shingles(text.as_py(), n)
                     size.append(len(s))
                     key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sk.append(sketch(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+                own = [pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sk, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *own], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return docs.select("doc_id", *common.identity(), "text").mapInArrow(common.emptied(run), "doc_id long, row_key long, text_key long, n_shingles long, set_key binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -155,16 +158,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The full sets of the classes that share a band with another."""
+def _sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(node, items): the full sets of classes (node, set_key, row_key, text_key), each from one of its documents."""
+    names = ["node", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "items"])
+            for k in range(0, b.num_rows, 256):
+                part, node, items = b.slice(k, 256), [], []
+                for i, key, text in zip(*part.columns, strict=True):
+                    s = shingles(text.as_py(), n).tobytes()
+                    if xxhash.xxh3_128_digest(s) == key.as_py():  # rows of one id are told apart by a hash of 64 bits only
+                        node.append(i.as_py())
+                        items.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(items, pa.binary())], names)
 
-    return docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, items binary")
+    rows = docs.select(*common.identity(), "text").join(classes, ["row_key", "text_key"]).select("node", "set_key", "text")
+    return rows.mapInArrow(common.emptied(run), "node long, items binary").dropDuplicates(["node"])
 
 
 def _ordered(x, y):
@@ -186,25 +196,20 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-COUNTERS, CHUNKS, PER_TASK, ITEMS_PER_TASK = 1 << 18, 8, 4000, 4_000_000
+COUNTERS, PER_TASK, ITEMS_PER_TASK = 1 << 18, 2000, 1_000_000
 
 
 def _counters(known: DataFrame) -> np.ndarray:
-    """How often shingles occur in the sets, by their upper 18 bits; summed in chunks on the executors."""
+    """How often shingles occur in the sets, by their upper 18 bits; a fixed number of counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                items = np.frombuffer(b"".join(b.column(0).slice(k, 512).to_pylist()), np.uint64)
-                total += np.bincount((items >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in np.split(total, CHUNKS)], pa.binary())], ["chunk", "data"])
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [key[0]], "data": [sum(np.frombuffer(x, np.int64) for x in pdf["data"]).tobytes()]})
+            items = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)  # a batch has a bounded size
+            total += np.bincount((items >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+        yield from common.parts_of_sum(total)
 
-    rows = known.select("items").mapInArrow(run, "chunk int, data binary").groupBy("chunk").applyInPandas(add, "chunk int, data binary").orderBy("chunk").collect()
-    return np.concatenate([np.frombuffer(r.data, np.int64) for r in rows]) if rows else np.zeros(COUNTERS, np.int64)
+    return common.summed(known.select("items").mapInArrow(run, common.PARTS), COUNTERS)
 
 
 def _narrowed(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,29 +288,42 @@ def _one_each(node: int, nodes: np.ndarray, comps: np.ndarray) -> list[tuple[int
     return [(min(node, x), max(node, x)) for x in nodes[first].tolist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row; documents of a component are linked by chains of similar sets."""
-    docs = common.documents(docs)
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's profile, and (set_key, root) of each set."""
     rows = common.materialise(_profile(docs, n), "sketches")
-    classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-    classes = common.materialise(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "row_key", "text_key")).alias("first")
+    classes = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), first, F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_rows"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "first.row_key", "first.text_key", "sketch", "n_shingles", "n_rows")
+    classes = common.materialise(classes, "classes")  # numbered once, in what is written
     links = _links(docs, classes, n, percent)
     roots = components(links)
-    named = classes.select("set_key", "node").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(F.col("set_key").alias("s"), F.coalesce("root", "node").alias("root"))
-    out = rows.drop("sketch").join(named, F.col("set_key") == F.col("s"), "left")
-    component = F.coalesce("root", "doc_id")
+    named = classes.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left")
+    return rows, named.select("set_key", "least", "n_rows", "row_key", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row; documents of a component are linked by chains of similar sets."""
+    rows, named = _components(common.documents(docs), n, percent)
+    least = named.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
+    named = named.join(least, F.col("root") == F.col("r")).select("set_key", "n_rows", "component")
+    named = common.materialise(named, "components")
+    out = common.join_by_key(rows.select("doc_id", "n_shingles", "set_key"), named, "set_key", "n_rows", rows.count(), "left")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    bands = common.materialise(_bands(classes), "bands")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    bands = common.materialise(bands.join(shared, "key"), "shared-bands")
-    sets = common.materialise(_sets(docs, bands.select("node").distinct(), n).dropDuplicates(["node"]), "sets")
+    every = common.materialise(_bands(classes), "bands")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    bands = common.materialise(every.join(shared, "key"), "shared-bands")
+    common.release(every)
+    sets = common.materialise(_sets(docs, classes.join(bands.select("node").distinct(), "node", "left_semi").select("node", "set_key", "row_key", "text_key"), n), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         likely = common.materialise(_likely(pairs, classes, percent), "likely")
-        return common.materialise(_confirmed(likely, sets, percent), "links")
+        found = common.materialise(_confirmed(likely, sets, percent), "links")
+        common.release(likely)
+        return found
 
     own = F.col("node").alias("comp")
     few = bands.filter(F.col("members") <= ALL_PAIRS).select("key", "node", own)
@@ -322,10 +340,22 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
             break
         new = confirm(_leader_pairs(open_rows, turn)) if turn < LEADERS else _open_links(open_rows, sets, percent)
         links = common.materialise(links.unionByName(new), "all-links")
+        common.release(open_rows)
     return links
 
 
 def keep(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component."""
-    kept = near_duplicates(docs, n, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of docs, with all their columns, that stand for their component: of its least doc_id, any id before none.
+
+    Rows without words all stay; of rows with equal doc_id and text one stays.
+    """
+    rows, named = _components(common.documents(docs), n, percent)
+    # A class's first row is its best; of a component, the best of the classes' first rows.
+    order = F.struct(F.col("least").isNull(), "row_key", "text_key")
+    best = named.groupBy("root").agg(F.min(order).alias("first")).select("first.row_key", "first.text_key")
+    kept = common.materialise(best.unionByName(rows.filter("set_key is null").select("row_key", "text_key").distinct()), "kept")
+    out = common.kept_rows(docs, kept)
+    if rows.filter("set_key is not null").groupBy("row_key", "text_key").count().filter("count > 1").take(1):
+        blank = F.translate(F.coalesce("text", F.lit("")), common.SPACE, "") == ""
+        out = out.filter(blank).unionByName(out.filter(~blank).dropDuplicates(["doc_id", "text"]))
+    return out

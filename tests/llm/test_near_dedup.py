@@ -60,9 +60,9 @@ def test_same_as_brute_force(spark, seed):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, "A b c d e"), (8, None), (None, "x"), (1, "long " * 60_000)], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, "A b c d e"), (8, None), (None, "x"), (4, "other words"), (1, "long " * 60_000)], "doc_id long, text string")
     got = sorted(map(tuple, N.near_duplicates(df, 5).collect()), key=str)
-    assert got == sorted([(None, 1, 4, False), (4, 1, 4, True), (4, 1, 4, True), (9, 1, 4, False), (8, 0, 8, True), (None, 1, None, True), (1, 1, 1, True)], key=str)
+    assert got == sorted([(None, 1, 4, False), (4, 1, 4, True), (4, 1, 4, True), (4, 1, 4, True), (9, 1, 4, False), (8, 0, 8, True), (None, 1, None, True), (1, 1, 1, True)], key=str)
     assert N.near_duplicates(df.limit(0)).collect() == []
 
 
@@ -111,3 +111,12 @@ def test_open_links_deal_both_sides(spark, monkeypatch):
     monkeypatch.setattr(type(rows.groupBy("key")), "applyInPandas", watched)
     assert {tuple(x) for x in N._open_links(rows, table, 80, 20).collect()} == want and len(want) >= 50
     assert max(seen) <= 90, seen
+
+
+def test_keep(spark):
+    a, b, c = "a b c d e f", "B c d e f g h", "one two three four five six"
+    rows = [(None, a, 1), (4, a, 2), (None, b, 3), (5, a.upper(), 4), (5, c, 5), (6, None, 6), (7, " ", 7), (7, " ", 7), (8, c, 8), (9, c + " seven", 9), (9, c + " seven", 9), (None, "z", 10), (None, "z", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    got = N.keep(df)
+    assert got.columns == df.columns and sorted(r.root for r in got.collect()) == [2, 3, 5, 6, 7, 7, 9, 10]
+    assert N.keep(df.limit(0)).collect() == []
