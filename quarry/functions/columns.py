@@ -66,9 +66,10 @@ def char_window(text: Column, offset: int, length: int) -> Column:
     return F.struct(F.substring(text, offset + 1, length).alias("content"), total.alias("total"), F.when(total > offset + length, F.lit(offset + length)).alias("next_offset"))
 
 
-def trim_chars(text: Column, n: int) -> Column:
+def trim_chars(text: Column, n: int | Column) -> Column:
     """The first n characters up to the last white space, with an ellipsis, where the text is longer."""
-    cut = F.regexp_replace(F.substring(text, 1, n), r"\s+\S*\z", "")
+    n = F.lit(n) if isinstance(n, int) else n
+    cut = F.regexp_replace(F.substring(text, F.lit(1), n), r"\s+\S*\z", "")
     return F.when(F.char_length(text) <= n, text).otherwise(F.concat(cut, F.lit("…")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import columns
+
 HREF = r'<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
 
@@ -46,11 +48,14 @@ def find_section(sections: DataFrame, doc: str, name: str) -> DataFrame:
 
 
 def pack(excerpts: DataFrame, budget: int, max_hits: int, least_tail: int = 200) -> DataFrame:
-    """excerpts (query, rank, text): whole excerpts in rank order under the budget, then one cut to what is left if that is `least_tail` or more."""
+    """excerpts (query, rank, text): whole excerpts in rank order under the budget, then one trimmed to what is left if that is `least_tail` or more.
+
+    chars: what each takes of the budget. The trimmed one ends at white space, with an ellipsis.
+    """
     w = Window.partitionBy("query").orderBy("rank")
     run = excerpts.withColumn("n", F.char_length("text")).withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("k", F.row_number().over(w))
     left = F.lit(budget) - F.col("before")
     whole = F.col("n") <= left
     fits = (F.col("k") <= max_hits) & (whole | (left >= least_tail))
-    out = run.filter(fits).withColumn("taken", F.when(whole, F.col("n")).otherwise(left))
-    return out.select("query", "rank", F.substring("text", F.lit(1), F.col("taken").cast("int")).alias("text"), F.col("taken").cast("long").alias("chars"), (~whole).alias("cut"))
+    text = F.when(whole, F.col("text")).otherwise(columns.trim_chars(F.col("text"), left.cast("int")))
+    return run.filter(fits).select("query", "rank", text.alias("text"), F.when(whole, F.col("n")).otherwise(left).cast("long").alias("chars"), (~whole).alias("cut"))

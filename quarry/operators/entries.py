@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import storage
 from quarry.functions import columns as C
 
 MAX_HOPS = 49
@@ -46,16 +47,48 @@ def title_prefix(entries: DataFrame, ns: str, prefix: str) -> DataFrame:
     return shown.filter((F.col("ns") == ns) & F.col("shown").startswith(prefix)).orderBy("archive", "shown", "idx")
 
 
+CONTENT = ["C", "A", "I", "J", "-"]
+
+
+def by_title(entries: DataFrame, titles: list[str]) -> DataFrame:
+    """(archive, shown, idx, ns, path): for each archive and title its first entry in the content namespaces, by namespace, then place."""
+    shown = entries.withColumn("shown", C.display_title(F.col("title"), F.col("path"))).filter(F.col("ns").isin(CONTENT) & F.col("shown").isin(titles))
+    rank = F.array_position(F.array(*map(F.lit, CONTENT)), F.col("ns"))
+    best = F.min_by(F.struct("idx", "ns", "path"), F.struct(rank, "idx"))
+    return shown.groupBy("archive", "shown").agg(best.alias("e")).select("archive", "shown", "e.*")
+
+
+def listing(entries: DataFrame, query: str, depth: int, language_case: bool = True) -> DataFrame:
+    """Entries of the content namespaces whose title begins with the query, as typed or with a capital: each target once, best titles first.
+
+    (archive, doc_id, title, percent, strength): every hit counts 100 percent and a quarter of a full-text hit's strength.
+    """
+    forms = list(dict.fromkeys([query, query[:1].upper() + query[1:]])) if language_case else [query]
+    shown = entries.withColumn("shown", C.display_title(F.col("title"), F.col("path"))).filter(F.col("ns").isin(CONTENT))
+    k = F.when(F.col("shown").startswith(forms[0]), 0)
+    for i, f in enumerate(forms[1:], 1):
+        k = k.when(F.col("shown").startswith(f), i)
+    rows = shown.withColumn("form", k).filter("form is not null").withColumn("target", F.coalesce("redirect_idx", "idx"))
+    order = Window.partitionBy("archive").orderBy("form", "shown", "idx")
+    first = rows.groupBy("archive", "target").agg(F.min(F.struct("form", "shown", "idx")).alias("f")).select("archive", "target", "f.*")
+    best = first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= depth)
+    return best.select("archive", F.col("target").alias("doc_id"), F.col("shown").alias("title"), (F.col("k") - 1).alias("rank"), F.lit(100).alias("percent"), F.lit(0.25).alias("strength"))
+
+
 def resolve_redirects(nodes: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """nodes (id, target): target null for items. Returns (id, final, hops), final null for loops and chains that are too long.
 
-    Pointer doubling: k joins follow 2 ** k redirects, so six joins do what fifty would.
+    Pointer doubling: k joins follow 2 ** k redirects, so six joins do what fifty would. Each step is written before the next names it
+    twice; otherwise the plan would double as well.
     """
     now = nodes.select("id", F.coalesce("target", "id").alias("at"), F.when(F.col("target").isNull(), 0).otherwise(1).alias("hops"))
-    step = 1
+    now, step = storage.materialise(now, "redirects"), 1
     while step <= hops:
+        old = now
         nxt = now.select(F.col("id").alias("k"), F.col("at").alias("next"), F.col("hops").alias("more"))
         now = now.join(nxt, F.col("at") == F.col("k"), "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        now = storage.materialise(now, "redirects")
+        storage.release(old)
         step *= 2
     ends = nodes.filter("target is null").select(F.col("id").alias("item"))
     out = now.join(ends, F.col("at") == F.col("item"), "left")
@@ -64,12 +97,22 @@ def resolve_redirects(nodes: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
 
 
 def order_problems(entries: DataFrame, key: list[str], order: str = "idx", strict: bool = True) -> DataFrame:
-    """Rows whose key does not follow that of the row before (checks of directory and title order)."""
-    w = Window.partitionBy("archive").orderBy(order)
-    before = F.lag(F.struct(*key)).over(w)
-    own = F.struct(*key)
-    bad = (before >= own) if strict else (before > own)
-    return entries.withColumn("bad", bad).filter("bad").select("archive", order, *key)
+    """Rows whose key does not follow that of the row before (checks of directory and title order).
+
+    Rows are cut into ranges of (archive, order), which an archive may fill several of: each range compares its own rows, and the
+    ranges' edges are compared among themselves, a row or two an archive and range.
+    """
+    spark, row = entries.sparkSession, F.struct(*key)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = entries.select("archive", order, *[k for k in key if k != order]).repartitionByRange(parts, "archive", order).withColumn("part", F.spark_partition_id())
+    dealt = storage.materialise(dealt, "ordered")  # the ranges are drawn from a sample: once, not once for each use
+    w = Window.partitionBy("part", "archive").orderBy(order)
+    wrong = lambda before, own: (before >= own) if strict else (before > own)
+    inside = dealt.withColumn("bad", wrong(F.lag(row).over(w), row)).filter("bad").select("archive", order, *key)
+    edges = dealt.groupBy("archive", "part").agg(F.min_by(F.struct(F.col(order).alias("o"), row.alias("k")), order).alias("first"), F.max_by(row, order).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("archive").orderBy("part"))
+    between = edges.withColumn("bad", wrong(before, F.col("first.k"))).filter("bad").select("archive", F.col("first.o").alias(order), *[F.col(f"first.k.{k}").alias(k) for k in key])
+    return inside.unionByName(between)
 
 
 def bound_problems(entries: DataFrame, column: str, bound: Column) -> DataFrame:

@@ -19,10 +19,10 @@ def fused(hits: DataFrame, depth: int, weight: Column = None, boost: Column = No
     hits: archive, doc_id, weight, all. Returns the same with rank, in_and, and fused.
     """
     weight = F.lit(1.0) if weight is None else weight
-    order = [F.desc(F.round("weight", 9)), F.col("doc_id")]
-    either = hits.withColumn("or_rank", F.row_number().over(Window.partitionBy("archive").orderBy(*order)))
-    ranked = either.filter((F.col("or_rank") <= depth) | F.col("all")).withColumn("rank", F.row_number().over(Window.partitionBy("archive", "all").orderBy(*order)))
-    ranked = ranked.filter((F.col("rank") <= depth) & (F.col("all") | (F.col("or_rank") <= depth)))
+    # Each list is cut to its best rows by a window of its own, with a plain bound that tasks apply before the shuffle.
+    together = score.top_k(hits.filter("all"), depth)
+    some = score.top_k(hits, depth).filter(~F.col("all")).drop("rank")
+    ranked = together.unionByName(score.top_k(some, depth)).withColumn("rank", F.col("rank") + 1)
     best = F.max("weight").over(Window.partitionBy("all"))
     strength = F.when(best > 0, F.least(F.col("weight") / best, F.lit(1.0))).otherwise(0.0) * 0.75
     return ranked.select("archive", "doc_id", "weight", F.col("all").alias("in_and"), (F.col("rank") - 1).alias("rank"), C.rrf(F.col("rank") - 1, weight, strength if boost is None else strength + boost).alias("fused"))

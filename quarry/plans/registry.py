@@ -389,7 +389,7 @@ def outline(spark, sf_dir):
 
 
 @_query("context_pack", """WITH r AS (SELECT conv_id AS query, turn AS rank, text, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
-SELECT query, rank, text[1:CAST(least(n, 1200 - b) AS INTEGER)] AS text, CAST(least(n, 1200 - b) AS BIGINT) AS chars, n > 1200 - b AS cut FROM r WHERE k <= 6 AND (n <= 1200 - b OR 1200 - b >= 200)""")
+SELECT query, rank, CASE WHEN n <= 1200 - b THEN text ELSE regexp_replace(text[1:CAST(1200 - b AS INTEGER)], '\\s+\\S*$', '') || '…' END AS text, CAST(least(n, 1200 - b) AS BIGINT) AS chars, n > 1200 - b AS cut FROM r WHERE k <= 6 AND (n <= 1200 - b OR 1200 - b >= 200)""")
 def context_pack(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query"), F.col("turn").alias("rank"), "text")
     return articles.pack(rows, 1200, 6)
