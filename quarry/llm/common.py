@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,67 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import storage
+from quarry.storage import release, scope, scratch  # noqa: F401
+
 #: ASCII white space as the contracts name it: blank and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local master may do without (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(shared_dir, "own", None)
-        if not found:
-            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-    return found.rstrip("/")
-
-
-#: Folders that this process made and has not deleted yet.
-_MADE: dict[str, SparkSession] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; deleted at the end of the process, or of the scope(), at the latest."""
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
-    if not _MADE:
-        atexit.unregister(_delete_all)
-        atexit.register(_delete_all)
-    _MADE[path] = spark
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    _MADE.pop(path, None)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _delete_all() -> None:
-    for path, spark in list(_MADE.items()):
-        if spark.sparkContext._jsc is None:  # the session has ended before the process: nothing can be reached any more
-            return
-        _delete(spark, path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes what materialise() wrote for these tables; only for tables on which nothing unwritten depends."""
-    for t in tables:
-        if path := getattr(t, "scratch_path", None):
-            _delete(t.sparkSession, path)
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end all scratch folders made within."""
-    before = set(_MADE)
-    yield
-    for path in [p for p in _MADE if p not in before]:
-        _delete(spark, path)
-
-
 #: Bytes of an Arrow batch on its way to Python, whatever the number of its rows: long texts and packed blocks make large rows.
 BATCH_BYTES = 8 << 20
 
@@ -87,14 +31,9 @@ def _bound_batches(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    _bound_batches(spark)
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+    """storage.materialise(), with the session's Arrow batches bounded."""
+    _bound_batches(df.sparkSession)
+    return storage.materialise(df, name, codec)
 
 
 def parallelism(spark: SparkSession) -> int:
