@@ -167,6 +167,22 @@ def _sort_seeds(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, lcp
 
 
+def _types(text: np.ndarray) -> np.ndarray:
+    """Whether each suffix is S; from the end, STEP bytes at a time."""
+    n = len(text)
+    out = np.zeros(n, bool)  # the last suffix is L: nothing follows, which is less than any byte
+    for hi in range(n - 1, 0, -STEP):
+        lo = max(0, hi - STEP)
+        a, b = text[lo:hi], text[lo + 1 : hi + 1]
+        differ = np.flatnonzero(a != b)  # a byte that equals the next is as that
+        at = np.searchsorted(differ, np.arange(hi - lo))
+        known = at < len(differ)
+        up = (a < b)[differ]
+        out[lo:hi][known] = up[at[known]]
+        out[lo:hi][~known] = out[hi]
+    return out
+
+
 def suffixes_descending(text: np.ndarray, spill_folder: str | None = None, memory: int = 256 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (position, common prefix with the suffix scanned before) over all suffixes, greatest first.
 
@@ -176,12 +192,7 @@ def suffixes_descending(text: np.ndarray, spill_folder: str | None = None, memor
     n = len(text)
     if not n:
         return
-    step = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))  # > 0: S, < 0: L, 0: as the next
-    nonzero = np.where(step != 0, np.arange(n - 1), n)
-    nxt = np.minimum.accumulate(nonzero[::-1])[::-1] if n > 1 else nonzero
-    is_s = np.zeros(n, bool)  # the last suffix is L: nothing follows, which is less than any byte
-    if n > 1:
-        is_s[:-1] = np.where(nxt < n, step[np.minimum(nxt, n - 2)] > 0, False)
+    is_s = _types(text)
     stars = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     spill = Spill(spill_folder, memory)
     try:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 from quarry.llm.induced_sort import suffixes_descending
 
-SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, MEMORY, PER_BUCKET = 50, 24, 8 << 20, 16 << 20, 192 << 20, 1_000_000
+SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, MEMORY, PER_BUCKET = 50, 24, 3 << 20, 5 << 20, 48 << 20, 400_000
 TELL = 64  # windows under an anchor in a block from which the block tells how many; fewer count as so many
 NO_ID = (1 << 63) - 1
 CUT = 0xFF  # never a byte of UTF-8
@@ -102,12 +102,11 @@ class Text:
         for i in range(0, n, step):
             piece = byte_grams(self.data[i : i + step + SPAN - 1], GRAM)
             least[i : i + step] = sliding_min(piece >> np.uint64(16), SPAN - GRAM + 1)
-        inside = np.zeros(len(self.data) + 1, bool)
-        for_each = self.lengths >= SPAN
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(edge, self.starts[for_each], 1)
-        np.add.at(edge, (self.starts + self.lengths)[for_each] - SPAN + 1, -1)
-        inside = np.cumsum(edge)[:n] > 0
+        inside = np.ones(n, bool)
+        ends = self.starts + self.lengths  # the windows from SPAN - 1 bytes before a text's end up to its cut are in no text
+        for k in range(SPAN):
+            at = ends - k
+            inside[at[(at >= 0) & (at < n)]] = False
         return least, inside
 
     def documents(self, at: np.ndarray) -> np.ndarray:
@@ -302,7 +301,7 @@ def least_ids(texts: list[bytes], least: np.ndarray, spill: str | None = None, m
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     first = np.cumsum(windows) - windows
-    of = np.repeat(np.arange(len(texts)), sizes + 1)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     out = np.empty(int(windows.sum()), np.int64)
     place, lcp, run = [], [], SPAN + 6
     held = 0
@@ -344,6 +343,16 @@ def least_ids(texts: list[bytes], least: np.ndarray, spill: str | None = None, m
     return out
 
 
+def _first_anchors(texts: list[bytes], step: int = 4096) -> np.ndarray:
+    """The anchor of each text's first window; a few thousand texts at a time."""
+    out = []
+    for i in range(0, len(texts), step):
+        part = b"".join(t[:SPAN] for t in texts[i : i + step])
+        least = sliding_min(byte_grams(np.frombuffer(part, np.uint8), GRAM) >> np.uint64(16), SPAN - GRAM + 1)
+        out.append(least[::SPAN])
+    return np.concatenate(out)
+
+
 def _answers(asked: DataFrame, spill: str) -> DataFrame:
     """For each block's segments, the least ids of their windows."""
 
@@ -369,8 +378,7 @@ def _answers(asked: DataFrame, spill: str) -> DataFrame:
         # windows; the others are sorted.
         several = np.zeros(len(texts), bool)
         if (windows > 1).any():
-            whole = Text(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), windows + SPAN - 1, least)
-            _, of, n = np.unique(whole.anchors()[0][whole.starts], return_inverse=True, return_counts=True)
+            _, of, n = np.unique(_first_anchors(texts), return_inverse=True, return_counts=True)
             longer = np.bincount(of, weights=windows > 1, minlength=len(n)) > 0
             several = (n[of] > 1) & longer[of]
         if several.any():
@@ -443,4 +451,5 @@ def dedup_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
     hot = shared.agg(F.coalesce(F.sum("hot_windows"), F.lit(0))).first()[0]
     asked = common.materialise(_ask_segments(blocks, shared, max(least, -(-size // shard_bytes)), max(1, -(-hot * SPAN // shard_bytes))), "segments", "none")
     told = common.materialise(_answers(asked, common.scratch(spark, "sort-spill")), "least-ids", "none")
+    common.release(asked)
     return _finish(blocks, shared, told, with_text)

@@ -78,6 +78,7 @@ def test_hot_anchor_is_split(spark, monkeypatch, block):
     rows += [(1000 + i, "z" * i + rows[i][1][3:]) for i in range(0, 300, 5)] + [(None, rows[8][1])]
     write = S.common.materialise
     monkeypatch.setattr(S.common, "materialise", lambda df, name, *a: kept.setdefault(name, write(df, name, *a)))
+    monkeypatch.setattr(S.common, "release", lambda *tables: None)
     shard = 8_000
     got = S.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), block, shard).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
