@@ -1,11 +1,17 @@
-"""A training-data pipeline: quality, exact copies, near copies, benchmark passages, token ids."""
+"""A training-data pipeline: quality, exact copies, near copies, benchmark passages, token ids.
+
+Defined results: a null text is an empty one, which the quality stage judges by the labels' mean and the others keep once; rows
+with a null doc_id are documents like any other; of rows repeated as a whole one stays; rows that repeat a doc_id with other texts
+are judged each by its text; an empty table gives no rows; extra columns, whatever their names, pass through all stages but the
+last. Very long texts are handled whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, decontaminate, exact_dedup, near_dedup, quality_knn
-from quarry.llm.common import scratch, table
+from quarry.llm.common import scope, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark passages go."""
+    """Documents with a whole window of a benchmark item go, whatever their length; of items too short for a window, those of which they are a twentieth."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -46,6 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
