@@ -7,7 +7,7 @@ SPAN-byte window has an anchor, the least hash of its GRAM-byte substrings, whic
 2. runs of windows under one shared anchor are cut out as segments, equal ones once a block with their least doc_id, and go to
    the shard of their anchor; a shard concatenates its distinct segments, sorts their suffixes externally by induction, and
    adjacent suffixes with a common prefix of SPAN bytes or more are one string, whose least doc_id is sent back to the blocks;
-   an anchor with more windows than a sixty-fourth of a shard's bytes is hot: its windows are dealt one by one, by a hash of all
+   an anchor with more windows than an eighth of a shard's bytes is hot: its windows are dealt one by one, by a hash of all
    their SPAN bytes, to shards of their own, where equal ones meet and nothing is left to sort;
 3. each block removes the windows of which the least doc_id is smaller than the document's own.
 
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +49,14 @@ def _unpack(data: bytes, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(common._BASE), n, 1 << 64))
+def _power(n: int, base: int) -> np.uint64:
+    return np.uint64(pow(base, n, 1 << 64))
 
 
-def byte_grams(text: np.ndarray, k: int) -> np.ndarray:
+BASES = int(common._BASE), 0xD6E8FEB86659FD93
+
+
+def byte_grams(text: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
     """Hashes of all k-byte substrings, by doubling."""
     if len(text) < k:
         return np.empty(0, np.uint64)
@@ -65,7 +67,7 @@ def byte_grams(text: np.ndarray, k: int) -> np.ndarray:
                 out = part.copy()
             else:
                 m = min(len(out), len(part) - done)
-                out = out[:m] * _power(size) + part[done : done + m]
+                out = out[:m] * _power(size, base) + part[done : done + m]
             done += size
         if 2 * size > k:
             out = out[: len(text) - k + 1]
@@ -73,7 +75,7 @@ def byte_grams(text: np.ndarray, k: int) -> np.ndarray:
             out *= np.uint64(0x94D049BB133111EB)  # the upper bits are the well-mixed ones
             return out
         m = len(part) - size
-        part = part[:m] * _power(size) + part[size:]
+        part = part[:m] * _power(size, base) + part[size:]
         size *= 2
 
 
@@ -251,27 +253,37 @@ class Segments:
             first += n
         end, doc = _ends(text, at)
         keep = shared[back] if len(at) else np.zeros(0, bool)
-        self.at, self.windows, self.anchor = at[keep], (end - at + 1)[keep], anchor[at[keep]] if len(at) else np.empty(0, np.uint64)
-        hot = heat[back][keep] if len(at) else keep
-        ids = text.ids[doc[keep]]
-        if hot.any():
-            n = np.where(hot, self.windows, 1)
-            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            self.at, self.anchor, ids, self.windows, hot = np.repeat(self.at, n) + offset, np.repeat(self.anchor, n), np.repeat(ids, n), np.repeat(np.where(hot, 1, self.windows), n), np.repeat(hot, n)
+        at, n, anchor, hot, ids = at[keep], (end - at + 1)[keep], anchor[at[keep]], heat[back][keep] if len(at) else keep, text.ids[doc[keep]]
         known: dict[bytes, int] = {}
-        data = text.data.tobytes()
-        self.of = np.fromiter((known.setdefault(data[a : a + w + SPAN - 1], len(known)) for a, w in zip(self.at.tolist(), self.windows.tolist(), strict=True)), np.int64, len(self.at))
-        self.texts = list(known)
-        self.least = np.full(len(known), NO_ID, np.int64)
-        np.minimum.at(self.least, self.of, ids)
-        self.key = np.zeros(len(known), np.uint64)
-        self.key[self.of] = self.anchor
-        self.hot = np.zeros(len(known), bool)
+        data, cold = text.data.tobytes(), ~hot
+        of = np.fromiter((known.setdefault(data[a : a + w + SPAN - 1], len(known)) for a, w in zip(at[cold].tolist(), n[cold].tolist(), strict=True)), np.int64, int(cold.sum()))
+        self.texts, self.data = list(known), text.data
+        # Windows under hot anchors are one by one, so they stay in arrays; 128 bits of hash tell them apart within the block.
+        m = n[hot]
+        single = np.repeat(at[hot], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        one, two = (byte_grams(text.data, SPAN, base)[single] for base in BASES) if len(single) else (np.empty(0, np.uint64),) * 2
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        of_single = np.empty(len(order), np.int64)
+        of_single[order] = np.cumsum(new) - 1
         # No window of a cold anchor's run equals a window under a hot one: its bytes decide its anchor, and heat is of all blocks.
-        self.hot[self.of] = hot
-        for k in np.flatnonzero(self.hot).tolist():
-            self.key[k] = xxhash.xxh3_64_intdigest(self.texts[k])
-        self.ids = ids
+        self.at, self.windows = np.concatenate([at[cold], single]), np.concatenate([n[cold], np.ones(len(single), np.int64)])
+        self.of, self.ids = np.concatenate([of, of_single + len(known)]), np.concatenate([ids[cold], np.repeat(ids[hot], m)])
+        self.first = single[order[new]]
+        self.n = len(known) + len(self.first)
+        self.hot = np.arange(self.n) >= len(known)
+        self.least = np.full(self.n, NO_ID, np.int64)
+        np.minimum.at(self.least, self.of, self.ids)
+        self.key = np.zeros(self.n, np.uint64)
+        self.key[of] = anchor[cold]
+        self.key[len(known) :] = (one ^ common.mix(two))[order[new]]
+
+    def bytes_of(self, k: int) -> bytes:
+        if k < len(self.texts):
+            return self.texts[k]
+        a = self.first[k - len(self.texts)]
+        return self.data[a : a + SPAN].tobytes()
 
 
 def _ask_segments(blocks: DataFrame, shared: DataFrame, shards: int, hot_shards: int) -> DataFrame:
@@ -287,7 +299,7 @@ def _ask_segments(blocks: DataFrame, shared: DataFrame, shards: int, hot_shards:
         cut = np.flatnonzero(np.concatenate([[True], sorted_shard[1:] != sorted_shard[:-1], [True]])) if len(order) else np.array([0])
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             mine = order[i:j]
-            texts = [s.texts[k] for k in mine.tolist()]
+            texts = list(map(s.bytes_of, mine.tolist()))
             rows.append((int(sorted_shard[i]), int(key[0]), mine.astype(np.int64).tobytes(), _pack(np.array([len(t) for t in texts], np.int64)), s.least[mine].tobytes(), _pack(b"".join(texts))))
         return pd.DataFrame(rows, columns=["shard", "block", "segment", "sizes", "least", "data"]).astype({"shard": "int64", "block": "int64"})
 
@@ -405,7 +417,7 @@ def _finish(blocks: DataFrame, shared: DataFrame, told: DataFrame, with_text: bo
         text = _text(own.iloc[0])
         bits, found = rows[rows["ord"] >= 0].sort_values("ord"), rows[rows["ord"] < 0]
         s = Segments(text, list(zip(bits["a"], bits["n"], bits["b"], strict=True)))
-        windows = np.zeros(len(s.texts), np.int64)
+        windows = np.zeros(s.n, np.int64)
         windows[s.of] = s.windows
         first = np.cumsum(windows) - windows
         least = np.full(int(windows.sum()), NO_ID, np.int64)
@@ -447,7 +459,7 @@ def dedup_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
     least = common.parallelism(spark)
     blocks = common.materialise(_blocks(common.documents(docs), block_bytes), "byte-blocks", "none")
     size = blocks.agg(F.coalesce(F.sum("n_anchors"), F.lit(0))).first()[0]  # about one anchor for each 14 bytes
-    shared = common.materialise(_shared_anchors(blocks, max(least, -(-size // 14 // PER_BUCKET)), shard_bytes // 64), "shared-anchors", "none")
+    shared = common.materialise(_shared_anchors(blocks, max(least, -(-size // 14 // PER_BUCKET)), shard_bytes // 8), "shared-anchors", "none")
     hot = shared.agg(F.coalesce(F.sum("hot_windows"), F.lit(0))).first()[0]
     asked = common.materialise(_ask_segments(blocks, shared, max(least, -(-size // shard_bytes)), max(1, -(-hot * SPAN // shard_bytes))), "segments", "none")
     told = common.materialise(_answers(asked, common.scratch(spark, "sort-spill")), "least-ids", "none")
