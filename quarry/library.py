@@ -75,7 +75,7 @@ def scan(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, l
             failures.append({"file": p, "error": str(e)})
     if not good:
         raise EmptyLibrary("no archive opens")
-    spark.dataSource.register(zim.ZimSource)
+    zim.register(spark)
     read = spark.read.format("zim").option("path", ",".join(good))
     return read.load(), read.option("table", "blobs").load(), failures
 

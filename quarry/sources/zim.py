@@ -1,8 +1,9 @@
 """ZIM archives as DataFrames: a Python data source that plans by the 80-byte header and decodes a range of entries a task.
 
-    spark.dataSource.register(ZimSource)
+    zim.register(spark)
     spark.read.format("zim").option("path", "/books/a.zim").load()                    # entries
     spark.read.format("zim").option("path", ...).option("table", "blobs").load()      # decoded blobs, by cluster
+    spark.read.format("zim").option("path", ...).option("table", "titles").load()     # entry numbers in order of title
 
 Archives may be split (`.zimaa`, `.zimab`, ...) or lie inside another file (options offset and length).
 """
@@ -11,17 +12,20 @@ from __future__ import annotations
 
 import hashlib
 import lzma
+import mmap
 import os
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 MAGIC, NONE32, NONE64 = 0x044D495A, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
 REDIRECT, LINKTARGET, DELETED = 0xFFFF, 0xFFFE, 0xFFFD
 ENTRIES = "archive string, idx long, ns string, path string, title string, kind string, mime string, cluster long, blob long, redirect_idx long"
 BLOBS = "archive string, cluster long, blob long, size long, content binary"
+TITLES = "archive string, position long, idx long"
 #: The most bytes that a cluster may decode to.
 MAX_CLUSTER = 1 << 31
 
@@ -31,36 +35,54 @@ class ZimError(ValueError):
 
 
 class Bytes:
-    """Random access to one file, to consecutive parts, or to a range of either."""
-
-    def __init__(self, path: str, offset: int = 0, length: int | None = None):
-        self.parts = []
-        if path.lower().endswith(".zimaa"):
-            stem, k = path[:-2], 0
-            while os.path.exists(name := stem + chr(97 + k // 26) + chr(97 + k % 26)):
-                self.parts.append(name)
-                k += 1
+    """Random access to a file, to consecutive parts, to ranges of files, or to bytes in memory; each optionally narrowed to a range.
+
+    Files are mapped into memory when first read and stay mapped, so a read copies no more than what is asked for.
+    """
+
+    def __init__(self, source: str | bytes | list[tuple[str, int, int]], offset: int = 0, length: int | None = None):
+        if isinstance(source, bytes):
+            self.pieces = [(source, 0, len(source))]
+        elif isinstance(source, list):
+            self.pieces = [(path, at, n) for path, at, n in source]
+        elif source.lower().endswith(".zimaa"):
+            stem, self.pieces = source[:-2], []
+            while os.path.exists(name := stem + chr(97 + len(self.pieces) // 26) + chr(97 + len(self.pieces) % 26)):
+                self.pieces.append((name, 0, os.path.getsize(name)))
         else:
-            self.parts.append(path)
-        self.sizes = [os.path.getsize(p) for p in self.parts]
-        total = sum(self.sizes)
+            self.pieces = [(source, 0, os.path.getsize(source))]
+        for path, at, n in self.pieces:
+            if at < 0 or n < 0 or isinstance(path, str) and at + n > os.path.getsize(path):
+                raise ZimError(f"range outside {path}")
+        total = sum(n for _, _, n in self.pieces)
         self.offset, self.size = offset, total - offset if length is None else length
         if offset < 0 or self.size < 0 or offset + self.size > total:
             raise ZimError("range outside the file")
-
-    def read(self, at: int, n: int) -> bytes:
+        self.maps: dict[str, mmap.mmap] = {}
+
+    def _bytes(self, path):
+        if isinstance(path, bytes):
+            return path
+        if path not in self.maps:
+            with open(path, "rb") as f:
+                self.maps[path] = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return self.maps[path]
+
+    def ranges(self, at: int, n: int) -> list[tuple]:
+        """Where the bytes lie: (file, offset, length) for each piece."""
         if at < 0 or n < 0 or at + n > self.size:
             raise ZimError(f"read of {n} bytes at {at} outside {self.size}")
         at, out = at + self.offset, []
-        for path, size in zip(self.parts, self.sizes, strict=True):
+        for path, first, size in self.pieces:
             if n and at < size:
-                with open(path, "rb") as f:
-                    f.seek(at)
-                    out.append(f.read(min(n, size - at)))
-                n -= len(out[-1])
-                at += len(out[-1])
+                out.append((path, first + at, min(n, size - at)))
+                n -= out[-1][2]
+                at += out[-1][2]
             at -= size
-        return b"".join(out)
+        return out
+
+    def read(self, at: int, n: int) -> bytes:
+        return b"".join(bytes(self._bytes(path)[a : a + k]) for path, a, k in self.ranges(at, n))
 
 
 @dataclass(frozen=True)
@@ -132,17 +154,96 @@ def decode_cluster(data: bytes, entries: int) -> list[bytes]:
 
 
 class Archive:
-    """One archive: header, MIME list, entries by index, clusters, checksum."""
+    """One archive: header, MIME list, entries by index or path, title order, clusters, checksum."""
 
-    def __init__(self, path: str, offset: int = 0, length: int | None = None):
-        self.source = Bytes(path, offset, length)
+    def __init__(self, source: str | bytes | list[tuple[str, int, int]], offset: int = 0, length: int | None = None):
+        self.source = Bytes(source, offset, length)
         self.header = parse_header(self.source.read(0, min(80, self.source.size)), self.source.size)
         h = self.header
         end = min(x for x in (h.path_ptr, h.cluster_ptr, h.title_ptr or NONE64, h.mime_ptr + (64 << 10), self.source.size))
         raw = self.source.read(h.mime_ptr, max(0, end - h.mime_ptr))
         stop = raw.find(b"\0\0")
         self.mimes = [m.decode("utf-8", "replace") for m in (raw if stop < 0 else raw[:stop]).split(b"\0") if m]
-        self.name = os.path.basename(path)
+        self.name = os.path.basename(source) if isinstance(source, str) else os.path.basename(source[0][0]) if isinstance(source, list) and source else ""
+
+    def entry(self, idx: int) -> tuple:
+        if not 0 <= idx < self.header.entry_count:
+            raise ZimError(f"entry {idx} of {self.header.entry_count}")
+        return next(iter(self.entries(idx, idx + 1)))
+
+    def lower_bound(self, ns: str, path: str = "") -> int:
+        """How many entries sort before (ns, path): entries are in order of namespace and path bytes."""
+        key = ns.encode("latin-1"), path.encode("utf-8", "surrogateescape")
+        return bisect_left(range(self.header.entry_count), key, key=lambda i: (lambda e: (e[2].encode("latin-1"), e[3].encode("utf-8", "surrogateescape")))(self.entry(i)))
+
+    def find(self, ns: str, path: str) -> tuple | None:
+        i = self.lower_bound(ns, path)
+        e = self.entry(i) if i < self.header.entry_count else None
+        return e if e is not None and (e[2], e[3]) == (ns, path) else None
+
+    def namespace_range(self, ns: str) -> tuple[int, int]:
+        lo = self.lower_bound(ns)
+        return lo, self.lower_bound(chr(ord(ns) + 1)) if ord(ns) < 255 else self.header.entry_count
+
+    def namespaces(self) -> list[str]:
+        out, at = [], 0
+        while at < self.header.entry_count:
+            out.append(self.entry(at)[2])
+            at = self.namespace_range(out[-1])[1]
+        return out
+
+    def main_entry(self) -> tuple | None:
+        """`W/mainPage`, else the page that the header names; redirects are not followed."""
+        found = self.find("W", "mainPage")
+        return found if found is not None or self.header.main_page is None else self.entry(self.header.main_page)
+
+    def resolve(self, entry: tuple | None, hops: int = 49) -> tuple | None:
+        """The item at the end of an entry's redirects; an error where there are more than `hops`."""
+        for _ in range(hops + 1):
+            if entry is None or entry[5] != "redirect":
+                return entry
+            entry = self.entry(entry[9])
+        raise ZimError("too many redirects")
+
+    def title_order(self) -> list[int]:
+        """Entry numbers in order of title: the stored listing of articles, else the header's title list, else none."""
+        for version in ("v1", "v0"):
+            e = self.find("X", f"listing/titleOrdered/{version}")
+            if e is not None and e[5] == "item":
+                data = self.content(e)
+                return list(struct.unpack(f"<{len(data) // 4}I", data[: len(data) // 4 * 4]))
+        h = self.header
+        return list(struct.unpack(f"<{h.entry_count}I", self.source.read(h.title_ptr, 4 * h.entry_count))) if h.title_ptr is not None else []
+
+    def index_entry(self, kind: str) -> tuple | None:
+        """The entry of the embedded `fulltext` or `title` index, in the new place or, for full text, in the old one."""
+        found = self.find("X", f"{kind}/xapian")
+        return found if found is not None or kind != "fulltext" else self.find("Z", "/fulltextIndex/xapian")
+
+    def index_ranges(self, kind: str) -> list[tuple] | None:
+        """Where the embedded index lies in the archive's files: null without one, or where it is stored compressed."""
+        e = self.resolve(self.index_entry(kind))
+        return self.direct_access(e[7], e[8]) if e is not None and e[5] == "item" else None
+
+    def content(self, entry: tuple) -> bytes:
+        if entry[5] != "item":
+            raise ZimError(f"{entry[3]} is a {entry[5]}")
+        blobs = self.cluster(entry[7])
+        if entry[8] >= len(blobs):
+            raise ZimError(f"blob {entry[8]} of {len(blobs)}")
+        return blobs[entry[8]]
+
+    def direct_access(self, cluster: int, blob: int) -> list[tuple] | None:
+        """(file, offset, length) of a blob, to be read without this class; null where its cluster is compressed."""
+        start = self.pointers(self.header.cluster_ptr, cluster, cluster + 1)[0]
+        info = self.source.read(start, 1)[0]
+        if info & 0x0F not in (0, 1):
+            return None
+        width = 8 if info & 0x10 else 4
+        a, z = struct.unpack("<QQ" if width == 8 else "<II", self.source.read(start + 1 + blob * width, 2 * width))
+        if z < a:
+            raise ZimError("offsets not ascending")
+        return self.source.ranges(start + 1 + a, z - a)
 
     def pointers(self, at: int, lo: int, hi: int) -> list[int]:
         return list(struct.unpack(f"<{hi - lo}Q", self.source.read(at + 8 * lo, 8 * (hi - lo))))
@@ -175,12 +276,15 @@ class Archive:
         return self.name, idx, chr(ns), path, title, kind, name, cluster, blob, target
 
     def cluster(self, k: int) -> list[bytes]:
-        h = self.header
-        starts = self.pointers(h.cluster_ptr, k, min(k + 2, h.cluster_count))
-        end = starts[1] if len(starts) > 1 else (h.checksum_ptr or self.source.size)
-        if end <= starts[0]:  # clusters may be stored in any order
-            end = self.source.size
-        return decode_cluster(self.source.read(starts[0], end - starts[0]), h.entry_count)
+        start = self.pointers(self.header.cluster_ptr, k, k + 1)[0]
+        return decode_cluster(self.source.read(start, self._next_start(start) - start), self.header.entry_count)
+
+    def _next_start(self, start: int) -> int:
+        """Where the cluster at `start` ends at the latest: clusters may be stored in any order, so the next greater pointer counts."""
+        if not hasattr(self, "_starts"):
+            self._starts = sorted(self.pointers(self.header.cluster_ptr, 0, self.header.cluster_count))
+        at = bisect_right(self._starts, start)
+        return self._starts[at] if at < len(self._starts) else (self.header.checksum_ptr or self.source.size)
 
     def checksum_ok(self) -> bool | None:
         """None where the archive has no checksum."""
@@ -213,28 +317,64 @@ class Range(InputPartition):
 
 
 class ZimReader(DataSourceReader):
+    """Plans by headers. Filters on ns narrow the entries read, filters on cluster the clusters decoded."""
+
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.table = options.get("table", "entries")
         self.offset, self.length = int(options.get("offset", 0)), int(options["length"]) if "length" in options else None
-        self.step = int(options.get("rows", 100_000 if self.table == "entries" else 64))
+        self.step = int(options.get("rows", 64 if self.table == "blobs" else 100_000))
+        self.spaces: set[str] | None = None
+        self.lo, self.hi, self.chosen = 0, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if self.table == "entries" and name == "ns" and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.spaces = own if self.spaces is None else self.spaces & own
+            elif self.table == "blobs" and name == "cluster" and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.chosen = own if self.chosen is None else self.chosen & own
+            elif self.table == "blobs" and name == "cluster" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.lo = max(self.lo, f.value + isinstance(f, GreaterThan))
+            elif self.table == "blobs" and name == "cluster" and isinstance(f, (LessThan, LessThanOrEqual)):
+                top = f.value + isinstance(f, LessThanOrEqual)
+                self.hi = top if self.hi is None else min(self.hi, top)
+            else:
+                yield f
+
+    def _wanted(self, a: Archive) -> list[tuple[int, int]]:
+        if self.table == "titles":
+            return [(0, len(a.title_order()))]
+        if self.table == "entries":
+            if self.spaces is None:
+                return [(0, a.header.entry_count)]
+            return [a.namespace_range(ns) for ns in sorted(self.spaces) if len(ns) == 1 and ord(ns) < 256]
+        n = a.header.cluster_count
+        hi = n if self.hi is None else min(n, max(self.hi, 0))
+        if self.chosen is None:
+            return [(self.lo, hi)]
+        return [(k, k + 1) for k in sorted(self.chosen) if k is not None and self.lo <= k < hi]
 
     def partitions(self) -> list[Range]:
         out = []
         for p in self.paths:
-            h = Archive(p, self.offset, self.length).header
-            n = h.entry_count if self.table == "entries" else h.cluster_count
-            out += [Range(p, k, min(n, k + self.step)) for k in range(0, n, self.step)]
+            for lo, hi in self._wanted(Archive(p, self.offset, self.length)):
+                out += [Range(p, k, min(hi, k + self.step)) for k in range(lo, hi, self.step)]
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:
         a = Archive(part.path, self.offset, self.length)
         if self.table == "entries":
             yield from a.entries(part.lo, part.hi)
-            return
-        for k in range(part.lo, part.hi):
-            for i, content in enumerate(a.cluster(k)):
-                yield a.name, k, i, len(content), content
+        elif self.table == "titles":
+            for position, idx in enumerate(a.title_order()[part.lo : part.hi], part.lo):
+                yield a.name, position, idx
+        else:
+            for k in range(part.lo, part.hi):
+                for i, content in enumerate(a.cluster(k)):
+                    yield a.name, k, i, len(content), content
 
 
 class ZimSource(DataSource):
@@ -243,7 +383,13 @@ class ZimSource(DataSource):
         return "zim"
 
     def schema(self) -> str:
-        return ENTRIES if self.options.get("table", "entries") == "entries" else BLOBS
+        return {"entries": ENTRIES, "blobs": BLOBS, "titles": TITLES}[self.options.get("table", "entries")]
 
     def reader(self, schema) -> ZimReader:
         return ZimReader(dict(self.options))
+
+
+def register(spark) -> None:
+    """Makes the format known to the session, and lets it push filters down to the reader."""
+    spark.dataSource.register(ZimSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -1,0 +1,155 @@
+"""Builds small databases for the tests: the inverse of what quarry.sources.glass reads."""
+
+import struct
+import zlib
+
+from quarry.sources import glass as G
+
+
+def bits_of(parts):
+    """(value, n) below n, in truncated binary codes, the lowest bit first."""
+    value = at = 0
+    for v, n in parts:
+        size = (n - 1).bit_length()
+        spare = (1 << size) - n
+        half = (n - spare) // 2
+        if not spare:
+            code, k = v, size
+        elif v < half:
+            code, k = v, size  # a zero follows the shorter code
+        elif v >= half + spare:
+            code, k = v - half - spare | 1 << size - 1, size
+        else:
+            code, k = v, size - 1
+        value |= code << at
+        at += k
+    return value.to_bytes((at + 7) // 8, "little")
+
+
+def pack_positions(pos):
+    if len(pos) == 1:
+        return G.pack_number(pos[0])
+    parts = [(pos[0], pos[-1]), (len(pos) - 2, pos[-1] - pos[0])]
+
+    def middle(j, k):
+        if k - j > 1:
+            mid = j + (k - j) // 2
+            parts.append((pos[mid] - pos[j] - (mid - j), pos[k] - pos[j] + 1 - (k - j)))
+            middle(j, mid)
+            middle(mid, k)
+
+    middle(0, len(pos) - 1)
+    return G.pack_number(pos[-1]) + bits_of(parts)
+
+
+def posting_entries(term, posts, per_chunk):
+    out = {}
+    for i in range(0, len(posts), per_chunk):
+        part = posts[i : i + per_chunk]
+        tag = b""
+        if i == 0:
+            tag = G.pack_number(len(posts)) + G.pack_number(sum(w for _, w in posts)) + G.pack_number(part[0][0] - 1)
+        tag += (b"1" if i + per_chunk >= len(posts) else b"0") + G.pack_number(part[-1][0] - part[0][0]) + G.pack_number(part[0][1])
+        for (before, _), (d, w) in zip(part, part[1:]):
+            tag += G.pack_number(d - before - 1) + G.pack_number(w)
+        out[G.posting_key(term, part[0][0] if i else None)] = tag
+    return out
+
+
+class Builder:
+    def __init__(self, block_size=2048):
+        self.size, self.blocks = block_size, [b""]  # block 0 is the header
+
+    def _block(self, level, items):
+        body, places = bytearray(self.size), []
+        at = self.size
+        for i in items:
+            at -= len(i)
+            body[at : at + len(i)] = i
+            places.append(at)
+        body[4] = level
+        end = G.DIRECTORY + 2 * len(items)
+        assert end <= at
+        struct.pack_into(">H", body, 9, end)
+        for k, p in enumerate(places):
+            struct.pack_into(">H", body, G.DIRECTORY + 2 * k, p)
+        self.blocks.append(bytes(body))
+        return len(self.blocks) - 1
+
+    def _level(self, level, items):
+        """items: (key, part, bytes). Returns the blocks as items of the level above."""
+        out, now, room = [], [], self.size - G.DIRECTORY
+        for x in [*items, None]:
+            if x is None or room < len(x[2]) + 2:
+                key, part = (b"", 1) if not out else now[0][:2]
+                out.append((key, part, self._block(level, [b for _, _, b in now])))
+                now, room = [], self.size - G.DIRECTORY
+            if x is not None:
+                now.append(x)
+                room -= len(x[2]) + 2
+        return [(k, p, struct.pack(">I", n) + bytes([len(k)]) + k + struct.pack(">H", p)) for k, p, n in out]
+
+    def table(self, entries, compress=()):
+        """(root block, level, entries)."""
+        if not entries:
+            return None
+        items, most = [], self.size // 4
+        for key in sorted(entries):
+            tag, flag = entries[key], 0
+            if key in compress:
+                c = zlib.compressobj(wbits=-15)
+                tag, flag = c.compress(tag) + c.flush(), G.COMPRESSED
+            parts = [tag[i : i + most] for i in range(0, len(tag), most)] or [b""]
+            for k, body in enumerate(parts):
+                head = bytes([len(key)]) + key + (b"" if k == 0 else struct.pack(">H", k + 1)) + body
+                flags = flag | (G.FIRST if k == 0 else 0) | (G.LAST if k == len(parts) - 1 else 0)
+                items.append((key, k + 1, struct.pack(">H", flags << 8 | len(head) - 1) + head))
+        level, up = 0, self._level(0, items)
+        while len(up) > 1:
+            level += 1
+            up = self._level(level, up)
+        return struct.unpack_from(">I", up[0][2])[0], level, len(entries)
+
+    def finish(self, tables, stats):
+        head = G.MAGIC + G.VERSION.to_bytes(2, "big") + bytes(16) + G.pack_number(7)
+        for name in G.TABLES:
+            block, level, n = tables.get(name) or (0, 0, 0)
+            shape = level << 2 | (0 if tables.get(name) else 1)
+            head += b"".join(map(G.pack_number, (block, shape, n, self.size >> 11, 4))) + G.pack_number(0)
+        head += b"".join(map(G.pack_number, stats))
+        self.blocks[0] = head.ljust(self.size, b"\0")
+        return b"".join(self.blocks)
+
+
+def build(terms, data, positions=None, values=None, meta=None, block_size=2048, per_chunk=20):
+    """terms: {term: [(docid, wdf)]}; data: {docid: bytes}; positions: {(term, docid): [...]}; values: {slot: {docid: bytes}}."""
+    lengths = {}
+    for posts in terms.values():
+        for d, w in posts:
+            lengths[d] = lengths.get(d, 0) + w
+    for d in data:
+        lengths.setdefault(d, 0)
+    post = {G.META + k.encode(): v for k, v in (meta or {}).items()}
+    for slot, own in (values or {}).items():
+        docs = sorted(own)
+        low, high = min(own.values()), max(own.values())
+        number = slot.to_bytes((slot.bit_length() + 7) // 8, "little")
+        post[G.SLOT_STATS + number] = G.pack_number(len(docs)) + G.pack_number(len(low)) + low + (b"" if low == high else high)
+        for i in range(0, len(docs), per_chunk):
+            tag, before = b"", None
+            for d in docs[i : i + per_chunk]:
+                tag += (b"" if before is None else G.pack_number(d - before - 1)) + G.pack_number(len(own[d])) + own[d]
+                before = d
+            post[G.SLOT + G.pack_number(slot) + G.pack_ordered_number(docs[i])] = tag
+    post |= posting_entries(b"", sorted(lengths.items()), per_chunk)
+    for t, posts in terms.items():
+        post |= posting_entries(t, sorted(posts), per_chunk)
+    b = Builder(block_size)
+    tables = {
+        "postlist": b.table(post),
+        "docdata": b.table({G.pack_ordered_number(d): v for d, v in data.items()}, {G.pack_ordered_number(d) for d, v in data.items() if len(v) > 60}),
+        "position": b.table({G.pack_ordered_text(t) + G.pack_ordered_number(d): pack_positions(p) for (t, d), p in (positions or {}).items()}),
+    }
+    wdf = max((w for p in terms.values() for _, w in p), default=0)
+    longest = max(lengths.values(), default=0)
+    return b.finish(tables, [len(lengths), max(lengths, default=0) - len(lengths), min(lengths.values(), default=0), wdf, longest - wdf, 0, sum(lengths.values()), 0])
