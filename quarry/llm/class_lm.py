@@ -470,28 +470,26 @@ def transition_logs(bigrams: np.ndarray, sizes: np.ndarray, unknown: float) -> n
     return np.log10(np.maximum(p, 1e-300))
 
 
-def clustered(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The answers (ANSWER) after the clustering of all training words."""
+def clustered(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | None, float | None]:
+    """The answers (ANSWER) after the clustering of all training words; and, where their likelihood is not known yet, those before the
+    last sweep with theirs: the caller's own pass counts the class bigrams, and takes the older ones if they have not become likelier."""
     seeds = _seeds(blocks, buckets)
     bigrams = _seed_bigrams(blocks, seeds)
     of = exchange(bigrams, CLASSES)
     answers = common.materialise(_answers(blocks, seeds, of, _context_model(bigrams, of), buckets), "lm-answers", "none")
     best, before = None, None
-    for turn in range(SWEEPS + 1):
+    for _ in range(SWEEPS):
         contexts = common.materialise(_contexts(blocks, answers, buckets), "lm-contexts", "none")
         matrix = _matrix(contexts)
         now = likelihood(matrix)
         if best is not None and now <= best:  # too many moved at once
             common.release(answers, contexts)
-            return before
+            return before, None, None
         if before is not None:
             common.release(before)
-        if turn == SWEEPS:
-            common.release(contexts)
-            return answers
         best, before, answers = now, answers, common.materialise(_swept(contexts, matrix), "lm-answers", "none")
         common.release(contexts)
-    return answers
+    return answers, before, best
 
 
 def vocabulary(answers: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -508,11 +506,17 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, per_bucket: int = P
     blocks = common.materialise(_blocks(docs, block_tokens), "lm-blocks", "none")
     asked, n = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
     buckets = max(common.parallelism(docs.sparkSession), -(-asked // per_bucket))
-    answers = clustered(blocks, buckets)
-    v, once, sizes = vocabulary(answers)
-    profiles = common.materialise(_profiles(blocks, answers, n, v, sizes), "lm-profiles")
-    matrix = _matrix(profiles)
-    common.release(blocks, answers)
+    answers, before, best = clustered(blocks, buckets)
+    while True:
+        v, once, sizes = vocabulary(answers)
+        profiles = common.materialise(_profiles(blocks, answers, n, v, sizes), "lm-profiles")
+        matrix = _matrix(profiles)
+        common.release(answers)
+        if before is None or likelihood(matrix) > best:
+            break
+        common.release(profiles)
+        answers, before = before, None
+    common.release(blocks, *([before] if before is not None else []))
     unknown = min(0.5, (once + 1) / (n + 2))
     logs = sc.broadcast(transition_logs(matrix, sizes, unknown).ravel())
 
