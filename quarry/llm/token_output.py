@@ -119,7 +119,7 @@ class WordEncoder:
     turn. New words go through the library; the memory is emptied at `limit` words.
     """
 
-    def __init__(self, path: str, dtype=np.uint16, limit: int = 600_000):
+    def __init__(self, path: str, dtype=np.uint16, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tok, self.dtype, self.limit = Tokenizer.from_file(path), dtype, limit
