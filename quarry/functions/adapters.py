@@ -6,36 +6,170 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Element names, ids and classes that the archives' makers use.
-_WIDE = ["main", "article", "[role=main]", "#main-content", "#main", "#content", ".content", "#page", "body"]
+_WIDE = [
+    "main",
+    "article",
+    "[role=main]",
+    "#main-content",
+    "#main",
+    "#content",
+    ".content",
+    "#page",
+    "body",
+]
 CONTENT = {
-    "mwoffliner": ["#mw-content-text .mw-parser-output", ".mw-parser-output", "#mw-content-text", "#bodyContent", "#content"],
-    "devdocs": ["._page", "._content", "main"],
-    "gutenberg": ["body"],
-    "libretexts": ["body"],
-    "youtube": ["body"],
+    "mwoffliner": [
+        "#mw-content-text .mw-parser-output",
+        ".mw-parser-output",
+        "#mw-content-text",
+        "#bodyContent",
+        "#content",
+    ],
+    "devdocs": [
+        "._page",
+        "._content",
+        "main",
+    ],
+    "gutenberg": [
+        "body",
+    ],
+    "libretexts": [
+        "body",
+    ],
+    "youtube": [
+        "body",
+    ],
     "zimit": _WIDE,
     "generic": _WIDE,
 }
-_CLUTTER = "nav header footer aside #menu .menu #menu-fixed .burger .crumbs .breadcrumb .breadcrumbs .cookie .cookie-banner .sidebar #sidebar .share .social .comments #comments form .advertisement .ad #ta .skip-link [aria-hidden=true]".split()
+_CLUTTER = [
+    "nav",
+    "header",
+    "footer",
+    "aside",
+    "#menu",
+    ".menu",
+    "#menu-fixed",
+    ".burger",
+    ".crumbs",
+    ".breadcrumb",
+    ".breadcrumbs",
+    ".cookie",
+    ".cookie-banner",
+    ".sidebar",
+    "#sidebar",
+    ".share",
+    ".social",
+    ".comments",
+    "#comments",
+    "form",
+    ".advertisement",
+    ".ad",
+    "#ta",
+    ".skip-link",
+    "[aria-hidden=true]",
+]
 PRUNE = {
-    "mwoffliner": (
-        ".navbox .vertical-navbox .navbox-styles .reflist .references ol.references .mw-references-wrap .mw-references sup.reference sup.mw-ref .mw-ref .mw-reflink-text .mw-cite-backlink .mw-editsection .hatnote .mw-empty-elt .noprint .metadata .ambox "
-        ".mbox-small .sistersitebox .portalbox .portal-bar #toc .toc .mw-jump-link .zim-footer #mw-navigation .catlinks .printfooter .navigation-not-searchable .mw-authority-control .shortdescription .side-box #siteSub #contentSub .mw-indicators "
-        ".vector-toc .error #References #External_links .external-links .navbox-inner"
-    ).split(),
-    "devdocs": ["devdocs-navbar", "._attribution", "nav", ".icon"],
-    "gutenberg": "#pg-header #pg-footer .pg-boilerplate #pg-machine-header #pg-start-separator #pg-end-separator .zim_info .zim_epub .zim_up .pagenum .tocpg".split(),
-    "libretexts": [".mt-icon-article", "nav", ".sr-only"],
+    "mwoffliner": [
+        ".navbox",
+        ".vertical-navbox",
+        ".navbox-styles",
+        ".reflist",
+        ".references",
+        "ol.references",
+        ".mw-references-wrap",
+        ".mw-references",
+        "sup.reference",
+        "sup.mw-ref",
+        ".mw-ref",
+        ".mw-reflink-text",
+        ".mw-cite-backlink",
+        ".mw-editsection",
+        ".hatnote",
+        ".mw-empty-elt",
+        ".noprint",
+        ".metadata",
+        ".ambox",
+        ".mbox-small",
+        ".sistersitebox",
+        ".portalbox",
+        ".portal-bar",
+        "#toc",
+        ".toc",
+        ".mw-jump-link",
+        ".zim-footer",
+        "#mw-navigation",
+        ".catlinks",
+        ".printfooter",
+        ".navigation-not-searchable",
+        ".mw-authority-control",
+        ".shortdescription",
+        ".side-box",
+        "#siteSub",
+        "#contentSub",
+        ".mw-indicators",
+        ".vector-toc",
+        ".error",
+        "#References",
+        "#External_links",
+        ".external-links",
+        ".navbox-inner",
+    ],
+    "devdocs": [
+        "devdocs-navbar",
+        "._attribution",
+        "nav",
+        ".icon",
+    ],
+    "gutenberg": [
+        "#pg-header",
+        "#pg-footer",
+        ".pg-boilerplate",
+        "#pg-machine-header",
+        "#pg-start-separator",
+        "#pg-end-separator",
+        ".zim_info",
+        ".zim_epub",
+        ".zim_up",
+        ".pagenum",
+        ".tocpg",
+    ],
+    "libretexts": [
+        ".mt-icon-article",
+        "nav",
+        ".sr-only",
+    ],
     "youtube": [],
     "zimit": _CLUTTER,
     "generic": _CLUTTER,
 }
+#: (where to look, what to find there, layout), the first that fits.
+RULES = [
+    ("scraper", "mwoffliner", "mwoffliner"),
+    ("scraper", "devdocs", "devdocs"),
+    ("scraper", "warc2zim", "zimit"),
+    ("scraper", "zimit", "zimit"),
+    ("scraper", "gutenberg", "gutenberg"),
+    ("name begins", "gutenberg", "gutenberg"),
+    ("scraper", "mindtouch", "libretexts"),
+    ("name", "libretexts", "libretexts"),
+    ("scraper", "youtube", "youtube"),
+    ("name begins", "wiki", "mwoffliner"),
+]
+
+
+def layout_of(scraper: str | None, name: str | None) -> str:
+    """The layout of one archive by its scraper, then by its name."""
+    s, n = (scraper or "").lower(), (name or "").lower()
+    fits = {"scraper": lambda x: x in s, "name": lambda x: x in n, "name begins": n.startswith}
+    return next((layout for where, x, layout in RULES if fits[where](x)), "generic")
 
 
 def adapter_of(scraper: Column, name: Column) -> Column:
-    """The layout of an archive by its scraper, then by its name."""
+    """layout_of() as a column."""
     s, n = (F.lower(F.coalesce(c, F.lit(""))) for c in (scraper, name))
-    return (
-        F.when(s.contains("mwoffliner"), "mwoffliner").when(s.contains("devdocs"), "devdocs").when(s.rlike("warc2zim|zimit"), "zimit").when(s.contains("gutenberg") | n.startswith("gutenberg"), "gutenberg")
-        .when(s.contains("mindtouch") | n.contains("libretexts"), "libretexts").when(s.contains("youtube"), "youtube").when(n.startswith("wiki"), "mwoffliner").otherwise("generic")
-    )
+    fits = {"scraper": s.contains, "name": n.contains, "name begins": n.startswith}
+    out = F.when(F.lit(False), "")
+    for where, x, layout in RULES:
+        out = out.when(fits[where](x), layout)
+    return out.otherwise("generic")

@@ -22,7 +22,7 @@ from quarry.functions import adapters
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style noscript template head title svg iframe object button select textarea input audio video canvas".split())
+SKIPPED = set("script style noscript template head title svg iframe object button select textarea input audio video canvas dialog menu".split())
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 HEADING = {f"h{k}": k for k in range(1, 7)}
 WRAP = {"strong": "**", "b": "**", "em": "*", "i": "*", "cite": "*", "dfn": "*", "var": "*", "s": "~~", "del": "~~", "strike": "~~", "code": "`", "kbd": "`", "samp": "`", "tt": "`"}
@@ -316,7 +316,7 @@ class Render:
             return ["---"] if self.markdown else []
         if n.tag == "pre":
             return self._pre(n)
-        if n.tag in ("ul", "ol", "menu"):
+        if n.tag in ("ul", "ol"):
             return self._list(n)
         if n.tag == "dl":
             return self._definitions(n)
@@ -498,14 +498,14 @@ def video_document(raw: str, hint: str = "", vtt: str | None = None) -> dict:
     return {"title": title, "markdown": markdown, "text": text, "sections": [{"level": 2, "title": t.strip(), "start": a, "end": e} for (a, t), e in zip(heads, ends, strict=True)], "links": [], "word_count": len(text.split())}
 
 
-def any_document(content: str, mime: str, adapter: str, hint: str = "", place: Place | None = None) -> dict | None:
-    """By MIME type: pages, plain text and Markdown as they are, JSON records by adapter; None for anything else."""
+def any_document(content: str, mime: str, adapter: str, hint: str = "", place: Place | None = None, vtt: str | None = None) -> dict | None:
+    """By MIME type: pages, plain text and Markdown as they are, JSON records by adapter (with their subtitles); None for anything else."""
     if mime.startswith(("text/html", "application/xhtml")):
         return extract(content, adapter, hint, place)
     if mime.startswith(("text/plain", "text/markdown")):
         return {"title": hint, "markdown": content, "text": content, "sections": [], "links": [], "word_count": len(content.split())}
     if mime.startswith("application/json") and adapter == "youtube":
-        return video_document(content, hint)
+        return video_document(content, hint, vtt)
     if mime.startswith("application/json") and adapter == "libretexts":
         return extract(json.loads(content).get("htmlBody") or "", adapter, hint, place)
     return None
@@ -521,14 +521,34 @@ _ARROW = pa.struct(
 
 
 @arrow_udf(DOCUMENT)
-def _document(content: pa.Array, mime: pa.Array, adapter: pa.Array, ns: pa.Array, path: pa.Array, prefix: pa.Array) -> pa.Array:
-    rows = zip(*(c.to_pylist() for c in (content, mime, adapter, ns, path, prefix)), strict=True)
-    return pa.array([None if c is None else any_document(c, m or "", a or "generic", p or "", Place(n or "C", p or "", (n or "C") == "C", x)) for c, m, a, n, p, x in rows], _ARROW)
+def _document(content: pa.Array, mime: pa.Array, adapter: pa.Array, ns: pa.Array, path: pa.Array, prefix: pa.Array, hint: pa.Array, vtt: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (content, mime, adapter, ns, path, prefix, hint, vtt)), strict=True)
+    return pa.array([None if c is None else any_document(c, m or "", a or "generic", h or p or "", Place(n or "C", p or "", (n or "C") == "C", x), v) for c, m, a, n, p, x, h, v in rows], _ARROW)
 
 
-def document(content: Column, mime: Column, adapter: Column, ns: Column, path: Column, prefix: Column) -> Column:
-    """The document of each entry as a struct; null where its type has none. Put it after limits: it parses every row it sees."""
-    return _document(content, mime, adapter, ns, path, prefix)
+def document(content: Column, mime: Column, adapter: Column, ns: Column, path: Column, prefix: Column, hint: Column | None = None, vtt: Column | None = None) -> Column:
+    """The document of each entry as a struct; null where its type has none. Put it after limits: it parses every row it sees.
+
+    hint: a title where the content has none (else the path); vtt: the subtitles of a video record.
+    """
+    none = F.lit(None).cast("string")
+    return _document(content, mime, adapter, ns, path, prefix, none if hint is None else hint, none if vtt is None else vtt)
+
+
+@arrow_udf(StringType())
+def _subtitles(records: pa.Array) -> pa.Array:
+    out = []
+    for raw in records.to_pylist():
+        try:
+            out.append(subtitle_path(json.loads(raw)) if raw else None)
+        except ValueError:
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
+def subtitles_of(record: Column) -> Column:
+    """Where the subtitles of each video record lie; null for none, and for what is no record."""
+    return _subtitles(record)
 
 
 def capped(content: Column, most: int = 4 << 20) -> Column:

@@ -30,6 +30,35 @@ def first_per_target(links: DataFrame, source: str, target: str, order: str = "o
     return once.withColumn("n", F.row_number().over(Window.partitionBy(source).orderBy(order)))
 
 
+def link_targets(links: DataFrame, entries: DataFrame, hops: int = 49) -> DataFrame:
+    """links (n, text, ns, path, fragment) of a page with what each leads to: (n, text, ns, path, fragment, exists, title).
+
+    entries: of one archive. A redirect is followed one entry a step, for the few rows of the page only.
+    """
+    spark = links.sparkSession
+    there = entries.select(F.col("ns").alias("t_ns"), F.col("path").alias("t_path"), F.col("title").alias("t_title"), F.col("kind").alias("t_kind"), "idx", "redirect_idx")
+    found = [r.asDict() for r in links.join(there, (F.col("ns") == F.col("t_ns")) & (F.col("path") == F.col("t_path")), "left").select("n", "text", "ns", "path", "fragment", "t_title", "t_kind", "redirect_idx").collect()]
+    for _ in range(hops):
+        open_rows = {r["redirect_idx"] for r in found if r["t_kind"] == "redirect"}
+        if not open_rows:
+            break
+        at = {r.idx: r for r in there.filter(F.col("idx").isin(sorted(open_rows))).collect()}
+        for r in found:
+            if r["t_kind"] == "redirect":
+                e = at.get(r["redirect_idx"])
+                r |= {"to": (e.t_ns, e.t_path), "t_title": e.t_title, "t_kind": e.t_kind, "redirect_idx": e.redirect_idx} if e else {"t_kind": None}
+    rows = [(r["n"], r["text"], *(r.get("to", (r["ns"], r["path"])) if r["t_kind"] == "item" else (r["ns"], r["path"])), r["fragment"], r["t_kind"] == "item", (r["t_title"] or r.get("to", (None, r["path"]))[1]) if r["t_kind"] == "item" else None) for r in found]
+    return spark.createDataFrame(rows, "n int, text string, ns string, path string, fragment string, exists boolean, title string")
+
+
+def plain_section(markdown: str) -> str:
+    """A section's Markdown without marks of headings, emphasis and link targets."""
+    import re
+
+    text = re.sub(r"(?m)^#+ ", "", markdown)
+    return re.sub(r"\*\*|~~|`", "", re.sub(r"!?\[([^\]]*)\](\([^)]*\))?", r"\1", text))
+
+
 def section_ends(sections: DataFrame, doc: str, start: str, level: str, end) -> DataFrame:
     """Each section ends where the next of a level no deeper begins, else where the document does."""
     later = F.collect_list(F.struct(F.col(start).alias("s"), F.col(level).alias("l"))).over(Window.partitionBy(doc).orderBy(start).rowsBetween(1, Window.unboundedFollowing))

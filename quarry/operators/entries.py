@@ -75,6 +75,25 @@ def listing(entries: DataFrame, query: str, depth: int, language_case: bool = Tr
     return best.select("archive", F.col("target").alias("doc_id"), F.col("shown").alias("title"), (F.col("k") - 1).alias("rank"), F.lit(100).alias("percent"), F.lit(0.25).alias("strength"))
 
 
+def stored_titles(entries: DataFrame, page: DataFrame) -> DataFrame:
+    """page (archive, ns, path, title, ...) with each row's title as the directory stores it: index titles may be lower-cased copies.
+
+    A page is a bounded number of rows, so it is broadcast to the entries.
+    """
+    own = entries.select(F.col("archive").alias("e_archive"), F.col("ns").alias("e_ns"), F.col("path").alias("e_path"), F.nullif("title", F.lit("")).alias("e_title"))
+    same = (F.col("archive") == F.col("e_archive")) & (F.col("ns") == F.col("e_ns")) & (F.col("path") == F.col("e_path"))
+    found = own.join(F.broadcast(page.select("archive", "ns", "path")), same).select("e_archive", "e_ns", "e_path", "e_title")
+    return page.join(found, same, "left").withColumn("title", F.coalesce("e_title", "title")).drop("e_archive", "e_ns", "e_path", "e_title")
+
+
+def search_mode(select: str, has_fulltext: Column, has_title: Column, has_listing: Column) -> Column:
+    """The mode that serves an archive: what is asked for where the archive can do it, for `auto` the first it can do; null for none."""
+    can = {"fulltext": has_fulltext, "title": has_title, "listing": has_listing}
+    if select == "auto":
+        return F.when(has_fulltext, "fulltext").when(has_title, "title").when(has_listing, "listing")
+    return F.when(can[select], select)
+
+
 def resolve_redirects(nodes: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """nodes (id, target): target null for items. Returns (id, final, hops), final null for loops and chains that are too long.
 

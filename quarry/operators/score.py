@@ -53,15 +53,19 @@ def scored(docs: DataFrame, terms: list[str], own: Column | None = None) -> Data
     return hits.select("archive", "doc_id", "doclen", matched.alias("matched"), weight.alias("weight")).withColumn("all", F.col("matched") == len(query))
 
 
-def scored_from_index(posts: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
-    """As scored(), from index tables: only the query's posting lists are read, then joined with the lengths of their documents."""
+def scored_from_index(posts: DataFrame, lengths: DataFrame, terms: list[str], coll: DataFrame | None = None) -> DataFrame:
+    """As scored(), from index tables: only the query's posting lists are read, then joined with the lengths of their documents.
+
+    coll: (archive, n_docs, avg_doclen), counted from the lengths where it is not given.
+    """
     query = fold_query(terms)
     spark = posts.sparkSession
-    coll = lengths.groupBy("archive").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doclen").alias("avg_doclen"))
+    if coll is None:
+        coll = lengths.groupBy("archive").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doclen").alias("avg_doclen"))
     q = spark.createDataFrame(query, "term string, wqf int")  # as many rows as the query has terms
-    lists = posts.filter(F.col("term").isin([t for t, _ in query]))
+    lists = posts.filter(F.col("term").isin([t for t, _ in query])).select("archive", "doc_id", "term", "wdf")
     tf = lists.groupBy("archive", "term").agg(F.count(F.lit(1)).alias("tf"))
-    parts = lists.join(F.broadcast(q), "term").join(tf, ["archive", "term"]).join(lengths, ["archive", "doc_id"], "left").join(coll, "archive")
+    parts = lists.join(F.broadcast(q), "term").join(tf, ["archive", "term"]).join(lengths.select("archive", "doc_id", "doclen"), ["archive", "doc_id"], "left").join(coll.select("archive", "n_docs", "avg_doclen"), "archive")
     w = C.term_weight(F.col("n_docs"), F.col("tf"), F.col("wqf"))
     part = C.doc_part(w, F.col("wdf"), F.coalesce("doclen", F.lit(0)), F.col("avg_doclen"))
     out = parts.groupBy("archive", "doc_id").agg(F.first("doclen").alias("doclen"), F.count(F.lit(1)).cast("int").alias("matched"), F.sum(part).alias("weight"))

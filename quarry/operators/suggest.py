@@ -18,17 +18,24 @@ from pyspark.sql.types import LongType
 
 from quarry.functions import analyze
 from quarry.functions import columns as C
+from quarry.operators import score
 
 ANCHOR, EXPANSIONS = "0posanchor", 100
 #: Words that begin with such a letter are stemmed.
 LETTER = r"^[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
 
 
-def title_index(titles: DataFrame, words: Column | None = None, language: str | None = None) -> DataFrame:
-    """(archive, doc_id, term, wdf, positions) of titles (archive, doc_id, title). `words` may replace the full word rules."""
+def title_index(titles: DataFrame, words: Column | None = None, language: str | Column | None = None) -> DataFrame:
+    """(archive, doc_id, term, wdf, positions) of titles (archive, doc_id, title). `words` may replace the full word rules.
+
+    language: of all titles, or a column of titles.
+    """
+    if language is not None:
+        titles = titles.withColumn("own_language", F.lit(language) if isinstance(language, str) else language)
     words = analyze.bare_words(F.col("title")) if words is None else words
-    placed = titles.select("archive", "doc_id", F.posexplode(F.concat(F.array(F.lit(ANCHOR)), words)).alias("pos", "word"))
-    stem = F.col("word") if language is None else F.get(analyze.index_terms(F.col("word"), F.lit(language)), F.lit(0))
+    more = [] if language is None else ["own_language"]
+    placed = titles.select("archive", "doc_id", *more, F.posexplode(F.concat(F.array(F.lit(ANCHOR)), words)).alias("pos", "word"))
+    stem = F.col("word") if language is None else F.get(analyze.index_terms(F.col("word"), F.col("own_language")), F.lit(0))
     own = F.struct(F.col("word").alias("term"), F.col("pos"))
     stemmed = F.struct(F.concat(F.lit("Z"), stem).alias("term"), F.lit(None).cast("int").alias("pos"))
     both = F.when(F.col("word").rlike(LETTER), F.array(own, stemmed)).otherwise(F.array(own))
@@ -146,6 +153,11 @@ def ordered(hits: DataFrame, titles: DataFrame, k: int) -> DataFrame:
     return rows.filter(F.col("rank") < k).select("archive", "doc_id", "title", "weight", "rank")
 
 
+def title_hits(hits: DataFrame) -> DataFrame:
+    """ordered() as search hits: percent of the archive's best, and half a full-text hit's strength in proportion."""
+    return score.title_percent(hits).withColumn("strength", F.col("percent") * 0.5 / 100)
+
+
 def federated_suggest(hits: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """The best of all archives' ordered() lists by reciprocal rank, titles equal to the query first."""
     boost = C.title_boost(F.col("title"), F.lit(text))

@@ -16,6 +16,7 @@ import mmap
 import os
 import struct
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -309,6 +310,12 @@ def discover(folders: list[str], recursive: bool = True) -> list[str]:
     return sorted(found)
 
 
+def labels(paths: list[str]) -> dict[str, str]:
+    """What archives are called in the tables: by file name, by whole path where several have one name."""
+    n = Counter(map(os.path.basename, paths))
+    return {p: os.path.basename(p) if n[os.path.basename(p)] == 1 else p for p in paths}
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -324,6 +331,7 @@ class ZimReader(DataSourceReader):
         self.table = options.get("table", "entries")
         self.offset, self.length = int(options.get("offset", 0)), int(options["length"]) if "length" in options else None
         self.step = int(options.get("rows", 64 if self.table == "blobs" else 100_000))
+        self.labels = labels(self.paths)
         self.spaces: set[str] | None = None
         self.lo, self.hi, self.chosen = 0, None, None
 
@@ -366,6 +374,7 @@ class ZimReader(DataSourceReader):
 
     def read(self, part: Range) -> Iterator[tuple]:
         a = Archive(part.path, self.offset, self.length)
+        a.name = self.labels[part.path]
         if self.table == "entries":
             yield from a.entries(part.lo, part.hi)
         elif self.table == "titles":
