@@ -477,6 +477,7 @@ def clustered(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | N
     bigrams = _seed_bigrams(blocks, seeds)
     of = exchange(bigrams, CLASSES)
     answers = common.materialise(_answers(blocks, seeds, of, _context_model(bigrams, of), buckets), "lm-answers", "none")
+    common.forget_shuffles(blocks.sparkSession)
     best, before = None, None
     for _ in range(SWEEPS):
         contexts = common.materialise(_contexts(blocks, answers, buckets), "lm-contexts", "none")
@@ -489,6 +490,7 @@ def clustered(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | N
             common.release(before)
         best, before, answers = now, answers, common.materialise(_swept(contexts, matrix), "lm-answers", "none")
         common.release(contexts)
+        common.forget_shuffles(blocks.sparkSession)
     return answers, before, best
 
 

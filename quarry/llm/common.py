@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import storage
-from quarry.storage import release, scope, scratch  # noqa: F401
+from quarry.storage import forget_shuffles, release, scope, scratch  # noqa: F401
 
 #: ASCII white space as the contracts name it: blank and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
