@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -59,12 +58,6 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Lets the session delete the shuffle files of plans that nothing holds any more: it does when the driver's JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end all scratch folders made within."""
