@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-SEEDS, CLASSES, BLOCK_TOKENS, PER_BUCKET, SMOOTH, SWEEPS = 512, 24, 800_000, 200_000, 5.0, 2
+SEEDS, CLASSES, BLOCK_TOKENS, PER_BUCKET, SMOOTH, SWEEPS = 512, 24, 800_000, 200_000, 5.0, 1
 END_CLASS, UNKNOWN, OTHER = CLASSES, CLASSES + 1, CLASSES + 1  # the last two: of an answer, of a context
 WIDTH = CLASSES + 2
 END = np.uint64(0x454E44)
@@ -477,7 +477,6 @@ def clustered(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | N
     bigrams = _seed_bigrams(blocks, seeds)
     of = exchange(bigrams, CLASSES)
     answers = common.materialise(_answers(blocks, seeds, of, _context_model(bigrams, of), buckets), "lm-answers", "none")
-    common.forget_shuffles(blocks.sparkSession)
     best, before = None, None
     for _ in range(SWEEPS):
         contexts = common.materialise(_contexts(blocks, answers, buckets), "lm-contexts", "none")
@@ -490,7 +489,6 @@ def clustered(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame | N
             common.release(before)
         best, before, answers = now, answers, common.materialise(_swept(contexts, matrix), "lm-answers", "none")
         common.release(contexts)
-        common.forget_shuffles(blocks.sparkSession)
     return answers, before, best
 
 

@@ -332,7 +332,6 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
     if not many.take(1):
         return links
     for turn in range(1, LEADERS + 1):
-        common.forget_shuffles(docs.sparkSession)
         roots = components(links)
         now = many.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")

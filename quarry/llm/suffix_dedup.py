@@ -464,5 +464,4 @@ def dedup_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
     asked = common.materialise(_ask_segments(blocks, shared, max(least, -(-size // shard_bytes)), max(1, -(-hot * SPAN // shard_bytes))), "segments", "none")
     told = common.materialise(_answers(asked, common.scratch(spark, "sort-spill")), "least-ids", "none")
     common.release(asked)
-    common.forget_shuffles(spark)
     return _finish(blocks, shared, told, with_text)
