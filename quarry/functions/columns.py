@@ -56,6 +56,17 @@ def split_long_path(path: Column) -> Column:
     return F.struct(F.when(ok, F.regexp_extract(path, pattern, 1)).alias("ns"), F.when(ok, F.regexp_extract(path, pattern, 2)).alias("path"))
 
 
+def kind_or_mime(kind: Column, mime: Column) -> Column:
+    """What an entry is shown as: its type, or the kind of an entry without content; a type outside the archive's list is unknown."""
+    return F.when(kind == "item", F.coalesce(mime, F.lit("unknown"))).otherwise(kind)
+
+
+def agent_path(path: Column) -> Column:
+    """The path that a caller means: without `zim://archive/`, fragment and leading slashes."""
+    bare = F.regexp_replace(path, "^zim://[^/]*/", "")
+    return F.regexp_replace(F.split_part(bare, F.lit("#"), F.lit(1)), "^/+", "")
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 

@@ -546,6 +546,16 @@ def _subtitles(records: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+@arrow_udf(StringType())
+def _spoken(vtt: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else transcript(v) for v in vtt.to_pylist()], pa.string())
+
+
+def spoken(vtt: Column) -> Column:
+    """The spoken lines of WebVTT subtitles."""
+    return _spoken(vtt)
+
+
 def subtitles_of(record: Column) -> Column:
     """Where the subtitles of each video record lie; null for none, and for what is no record."""
     return _subtitles(record)

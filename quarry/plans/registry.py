@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import builder, storage
 from quarry.functions import analyze, html, snippets
 from quarry.functions import columns as C
 from quarry.operators import articles, entries, federated, index, score, suggest
@@ -219,17 +220,63 @@ def title_boost(spark, sf_dir):
     return _titles(spark, sf_dir).select("doc_id", C.title_boost(F.col("title"), F.lit("The  of")).alias("boost"))
 
 
-@_query("title_prefix_range", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'blue')")
+def _part_entries(spark, sf_dir):
+    """Part names as entry titles, brands as archives; keys as entry numbers."""
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("archive"), F.col("p_partkey").alias("idx"), F.lit("C").alias("ns"), F.col("p_type").alias("path"), F.col("p_name").alias("title"), F.lit("item").alias("kind"), F.lit(None).cast("long").alias("redirect_idx"))
+
+
+@_query("title_prefix_range", "SELECT p_brand AS archive, p_partkey AS idx, p_name AS shown FROM part WHERE starts_with(p_name, 'blue')")
 def title_prefix_range(spark, sf_dir):
-    return _table(spark, sf_dir, "part").filter(F.col("p_name").startswith("blue")).select("p_partkey", "p_name")
+    return entries.title_prefix(_part_entries(spark, sf_dir), "C", "blue").select("archive", "idx", "shown")
+
+
+_DOC_ENTRIES = """t AS (SELECT lang AS archive, doc_id AS idx, 'C' AS ns, 'p' || doc_id AS path, split_part(coalesce(text, ''), chr(10), 1) AS title,
+CASE WHEN doc_id % 9 = 4 THEN doc_id - 4 END AS redirect_idx FROM documents)"""
+
+
+def _doc_entries(spark, sf_dir):
+    """Documents as entries titled by their first line; every ninth is a redirect to the one four before it."""
+    d = _table(spark, sf_dir, "documents")
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    to = F.when(F.col("doc_id") % 9 == 4, F.col("doc_id") - 4)
+    return d.select(F.col("lang").alias("archive"), F.col("doc_id").alias("idx"), F.lit("C").alias("ns"), F.concat(F.lit("p"), F.col("doc_id")).alias("path"), title.alias("title"), F.when(to.isNull(), "item").otherwise("redirect").alias("kind"), to.alias("redirect_idx"))
 
 
-@_query("listing_mode", f"WITH {_TITLES} SELECT archive, doc_id, title, 100 AS percent, 0.25::DOUBLE AS strength FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY title, doc_id) AS k FROM t WHERE starts_with(title, 'the') OR starts_with(title, 'The')) WHERE k <= 10")
+_LISTING = f"""WITH {_DOC_ENTRIES}, f AS (SELECT *, CASE WHEN title = '' THEN path ELSE title END AS shown, coalesce(redirect_idx, idx) AS target FROM t),
+v AS (SELECT *, CASE WHEN starts_with(shown, 'the') THEN 0 WHEN starts_with(shown, 'The') THEN 1 END AS form FROM f),
+o AS (SELECT * FROM v WHERE form IS NOT NULL QUALIFY row_number() OVER (PARTITION BY archive, target ORDER BY form, shown, idx) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY form, shown, idx) - 1 AS rank FROM o)
+"""
+
+
+@_query("listing_mode", _LISTING + "SELECT archive, target AS doc_id, shown AS title, rank, 100 AS percent, 0.25::DOUBLE AS strength FROM k WHERE rank < 10")
 def listing_mode(spark, sf_dir):
-    t = _titles(spark, sf_dir)
-    found = t.filter(F.col("title").startswith("the")).union(t.filter(F.col("title").startswith("The"))).distinct()
-    k = F.row_number().over(Window.partitionBy("archive").orderBy("title", "doc_id"))
-    return found.withColumn("k", k).filter("k <= 10").select("archive", "doc_id", "title", F.lit(100).alias("percent"), F.lit(0.25).alias("strength"))
+    return entries.listing(_doc_entries(spark, sf_dir), "the", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query("listing_federated", _LISTING + """, u AS (SELECT archive, target AS doc_id, 1 / (61.0::DOUBLE + rank) + 0.75::DOUBLE * 0.25 / 61 AS fu, rank FROM k WHERE rank < 20)
+SELECT row_number() OVER (ORDER BY round(fu, 9) DESC, archive, rank) AS rank, archive, doc_id, round(fu / max(fu) OVER (), 4) AS score, false AS partial FROM u QUALIFY row_number() OVER (ORDER BY round(fu, 9) DESC, archive, u.rank) <= 20""")
+def listing_federated(spark, sf_dir):
+    """A page over archives that have nothing but a listing of titles."""
+    hits = entries.listing(_doc_entries(spark, sf_dir), "the", 20)
+    cands = hits.select("archive", "doc_id", F.lit(0.0).alias("weight"), F.lit(True).alias("in_and"), "rank", "strength")
+    return _page(federated.page_of(federated.fused(cands), 0, 20, False))
+
+
+@_query("search_modes", "SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'fulltext' WHEN c_acctbal > 5000 THEN 'title' WHEN c_mktsegment = 'BUILDING' THEN 'listing' END AS auto, CASE WHEN c_acctbal > 5000 THEN 'title' END AS title FROM customer")
+def search_modes(spark, sf_dir):
+    """The mode that serves an archive, by what it has."""
+    has = [F.col("c_nationkey") < 10, F.col("c_acctbal") > 5000, F.col("c_mktsegment") == "BUILDING"]
+    return _table(spark, sf_dir, "customer").select("c_custkey", entries.search_mode("auto", *has).alias("auto"), entries.search_mode("title", *has).alias("title"))
+
+
+@_query("stored_titles", f"WITH {_DOC_ENTRIES} SELECT archive, idx, path, title FROM t WHERE idx % 5 = 0 UNION ALL SELECT 'none', 0, 'x', 'copy'")
+def stored_titles(spark, sf_dir):
+    """Hits whose titles are lower-cased copies, with those of the directory."""
+    e = _doc_entries(spark, sf_dir)
+    page = e.filter("idx % 5 = 0").select("archive", "idx", "ns", "path", F.lower("title").alias("title")).unionByName(spark.sql("SELECT 'none' AS archive, 0L AS idx, 'C' AS ns, 'x' AS path, 'copy' AS title"))
+    return entries.stored_titles(e, page).select("archive", "idx", "path", "title")
 
 
 # Entries ----------------------------------------------------------------------------------------------------------------
@@ -457,10 +504,10 @@ f AS (SELECT g.archive, doc_id, title, fixed + CASE WHEN len(list_filter(range(1
 SELECT archive, doc_id, title, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, title, doc_id) - 1 AS rank FROM f) WHERE rank < 10"""
 
 
-def _suggested(spark, sf_dir, text, words=None, language=None):
+def _suggested(spark, sf_dir, text, words=None, language=None, k=10):
     titles = _titles(spark, sf_dir)
     own = suggest.title_index(titles, words, language)
-    return suggest.ordered(suggest.suggest(own, suggest.title_lengths(own), text, language), titles, 10)
+    return suggest.ordered(suggest.suggest(own, suggest.title_lengths(own), text, language), titles, k)
 
 
 @_query("suggest_titles", _SUGGEST)
@@ -475,11 +522,27 @@ def suggest_partial(spark, sf_dir):
     return suggest.federated_suggest(_suggested(spark, sf_dir, "the w", language="en"), "the w")
 
 
-@_query("title_exact", f"WITH {_TITLES} SELECT archive, min(doc_id) AS doc_id, title FROM t WHERE title IN (SELECT min(title) FROM t GROUP BY archive) GROUP BY archive, title")
+_SUGGEST_ALL = _SUGGEST.replace("rank < 10", "rank < 20")
+
+
+@_query("title_mode", f"WITH h AS ({_SUGGEST_ALL}) SELECT archive, doc_id, rank, CASE WHEN weight > 0 THEN CAST(least(greatest(floor(round(weight / max(weight) OVER (PARTITION BY archive) * 100, 9)), 1), 100) AS INTEGER) ELSE 0 END AS percent FROM h")
+def title_mode(spark, sf_dir):
+    """Title hits as search hits: percent of the archive's best. Weights are of six digits in both engines."""
+    hits = _suggested(spark, sf_dir, "of the ", C.simple_terms(F.col("title")), k=20).withColumn("weight", F.round("weight", 6))
+    return suggest.title_hits(hits).select("archive", "doc_id", F.col("rank").cast("long").alias("rank"), "percent")
+
+
+@_query("suggest_federated", f"""WITH h AS ({_SUGGEST_ALL}), b AS (SELECT *, CASE WHEN trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) = 'of the' THEN 1.0::DOUBLE WHEN list_has_all(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ['of', 'the']) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM h),
+f AS (SELECT *, 1 / (61.0::DOUBLE + rank) + boost / 61 AS fu FROM b) SELECT archive, doc_id, title, round(fu, 6) AS score FROM f ORDER BY round(fu, 9) DESC, archive, rank LIMIT 15""")
+def suggest_federated(spark, sf_dir):
+    return suggest.federated_suggest(_suggested(spark, sf_dir, "of the ", C.simple_terms(F.col("title")), k=20), "of the ", 15)
+
+
+@_query("title_exact", f"WITH {_DOC_ENTRIES}, k AS (SELECT min(title) AS title FROM t WHERE title <> '' GROUP BY archive) SELECT archive, title AS shown, min(idx) AS idx FROM t WHERE title IN (SELECT title FROM k) GROUP BY archive, title")
 def title_exact(spark, sf_dir):
-    t = _titles(spark, sf_dir)
-    keys = t.groupBy("archive").agg(F.min("title").alias("title")).select("title").distinct()
-    return t.join(keys, "title").groupBy("archive", "title").agg(F.min("doc_id").alias("doc_id"))
+    e = _doc_entries(spark, sf_dir)
+    wanted = [r.t for r in e.filter("title <> ''").groupBy("archive").agg(F.min("title").alias("t")).collect()]  # one an archive
+    return entries.by_title(e, wanted).select("archive", "shown", "idx")
 
 
 @_query("phrase_verified_page", _bm25_sql("source", ["of", "the"]) + f""", d2 AS (SELECT source AS archive, doc_id, {_T} AS t FROM documents),
@@ -495,10 +558,29 @@ def phrase_verified_page(spark, sf_dir):
     return fits.select("archive", "doc_id", rank.cast("long").alias("rank")).filter("rank <= 10")
 
 
-def _extracted(spark, sf_dir):
+_PHRASES = _bm25_sql("source", ["of", "the"]) + f""", d2 AS (SELECT source AS archive, doc_id, {_T} AS t FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY round(weight, 9) DESC, doc_id) AS k FROM sc WHERE matched = 2),
+f AS (SELECT *, 1 / (60.0::DOUBLE + k) + 0.75::DOUBLE * weight / max(weight) OVER () / 61 AS fu FROM o WHERE k <= 500),
+z AS (SELECT archive, doc_id, row_number() OVER (ORDER BY round(fu, 9) DESC, archive, k) AS rank FROM f),
+w AS (SELECT z.*, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0 AS fits FROM z JOIN d2 ON z.archive = d2.archive AND z.doc_id = d2.doc_id WHERE rank > 20 AND rank <= 120),
+c AS (SELECT *, count(*) FILTER (fits) OVER (ORDER BY rank) AS n FROM w)
+SELECT rank, archive, doc_id, coalesce((SELECT min(rank) FROM c WHERE fits AND n = 10), (SELECT max(rank) FROM w)) AS next FROM c WHERE fits AND n <= 10"""
+
+
+@_query("phrase_page_2", _PHRASES)
+def phrase_page_2(spark, sf_dir):
+    """The page of a phrase query that goes on behind place 20, and where the next one begins."""
+    docs = docs_by(spark, sf_dir, "source")
+    ranked = federated.page_of(federated.fused(federated.candidates(score.scored(docs, ["of", "the"]), 500)), 20, 100, False)
+    rows = federated.verified(ranked.join(docs, ["archive", "doc_id"]), C.contains_phrase(C.simple_terms(F.col("text")), ["of", "the"]), 10)
+    return rows.select(F.col("rank").cast("long").alias("rank"), "archive", "doc_id", F.col("next").cast("long").alias("next"))
+
+
+def _extracted(spark, sf_dir, layout="generic"):
     path = F.regexp_extract("url", r"^https?://[^/]*/(.*)$", 1)
     null = F.lit(None).cast("string")
-    return _table(spark, sf_dir, "pages").select("page_id", html.document(F.col("html"), F.lit("text/html"), F.lit("generic"), F.lit("C"), path, null).alias("d"))
+    pages = storage.spread(_table(spark, sf_dir, "pages"))  # rendering is heavy, and a small table is one row group
+    return pages.select("page_id", html.document(F.col("html"), F.lit("text/html"), F.lit(layout), F.lit("C"), path, null).alias("d"))
 
 
 @_query("render_markdown_pages")
@@ -506,15 +588,19 @@ def render_markdown_pages(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "d.title", "d.markdown", "d.text", "d.word_count")
 
 
-@_query("outline_pages")
+@_query("outline_pages", r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+h AS (SELECT page_id, unnest(regexp_extract_all(body, '(?s)<h([1-6])>(.*?)</h[1-6]>', 1)) AS level, unnest(regexp_extract_all(body, '(?s)<h([1-6])>(.*?)</h[1-6]>', 2)) AS raw, generate_subscripts(regexp_extract_all(body, '(?s)<h([1-6])>(.*?)</h[1-6]>', 1), 1) - 1 AS i FROM a)
+SELECT page_id, CAST(i AS INTEGER) AS index, CAST(level AS INTEGER) AS level, trim(regexp_replace(replace(replace(replace(replace(raw, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\s+', ' ', 'g')) AS title FROM h""")
 def outline_pages(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", F.posexplode("d.sections").alias("index", "s")).select("page_id", "index", "s.level", "s.title", (F.col("s.end") - F.col("s.start")).alias("chars"))
+    return _extracted(spark, sf_dir).select("page_id", F.posexplode("d.sections").alias("index", "s")).select("page_id", "index", "s.level", "s.title")
 
 
-@_query("page_targets")
+@_query("page_targets", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS raw,
+  generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS i FROM pages)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS ord, trim(raw) AS text, 'internal' AS kind, 'C' AS ns, url_decode(replace(ltrim(href, '/'), '+', '%2B')) AS path, CAST(NULL AS VARCHAR) AS fragment, CAST(NULL AS VARCHAR) AS url FROM l WHERE trim(raw) <> '' AND starts_with(href, '/')""")
 def page_targets(spark, sf_dir):
-    """Every link of the rendered part of a page with what it points to."""
-    return _extracted(spark, sf_dir).select("page_id", F.posexplode("d.links").alias("ord", "l")).select("page_id", "ord", "l.*")
+    """Every link of a whole page with what it points to; no part of the page is pruned."""
+    return _extracted(spark, sf_dir, "gutenberg").select("page_id", F.posexplode("d.links").alias("ord", "l")).select("page_id", "ord", "l.*")
 
 
 @_query("snippets")
@@ -526,6 +612,95 @@ def snippet_page(spark, sf_dir):
     return rows.select("archive", "doc_id", "rank", snippets.snippets(F.col("text"), " ".join(TERMS), F.col("archive"), 200).alias("snippet"))
 
 
-@_query("json_record_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_record_extract(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+@_query("record_documents", """WITH r AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'Talk ' || conv_id AS title, '# Talk ' || conv_id || chr(10) || chr(10) || '**Channel:** c' || n || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || 'about ' || n || chr(10) AS markdown FROM r""")
+def record_documents(spark, sf_dir):
+    """Video records as documents: the adapter reads title, channel and description of JSON."""
+    r = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    record = F.to_json(F.struct(F.concat(F.lit("Talk "), F.col("conv_id")).alias("title"), F.struct(F.concat(F.lit("c"), F.col("n")).alias("channelTitle")).alias("author"), F.concat(F.lit(" about "), F.col("n")).alias("description")))
+    null = F.lit(None).cast("string")
+    d = html.document(record, F.lit("application/json"), F.lit("youtube"), F.lit("C"), F.lit("x"), null)
+    return r.select("conv_id", d.alias("d")).select("conv_id", "d.title", "d.markdown")
+
+
+@_query("html_records", "SELECT doc_id, '**' || doc_id || '** of ' || source || chr(10) AS markdown FROM documents")
+def html_records(spark, sf_dir):
+    """Records that carry a page in `htmlBody`."""
+    d = _table(spark, sf_dir, "documents")
+    record = F.to_json(F.struct(F.concat(F.lit("<p><b>"), F.col("doc_id"), F.lit("</b> of "), F.col("source")).alias("htmlBody")))
+    out = html.document(record, F.lit("application/json"), F.lit("libretexts"), F.lit("C"), F.lit("x"), F.lit(None).cast("string"))
+    return d.select("doc_id", out.alias("d")).select("doc_id", "d.markdown")
+
+
+@_query("transcripts", "SELECT conv_id, string_agg('turn ' || turn || ' & ' || role, chr(10) ORDER BY turn) AS spoken FROM conversations GROUP BY conv_id")
+def transcripts(spark, sf_dir):
+    """Subtitles as text: no header, times or tags; a line that is shown twice in a row counts once."""
+    line = F.concat(F.lit("<v x>turn <i>"), F.col("turn"), F.lit("</i> &amp; "), F.col("role"))
+    cue = F.struct("turn", F.concat(F.lit("\n\n00:00.000 --> 00:01.000 line:0\n"), line, F.lit("\n\n00:01.000 --> 00:02.000\n"), line).alias("c"))
+    vtt = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(cue)), lambda x: x["c"]), "").alias("v"))
+    return vtt.select("conv_id", html.spoken(F.concat(F.lit("WEBVTT"), F.col("v"))).alias("spoken"))
+
+
+@_query("companions", """WITH e AS (SELECT doc_id AS idx, CASE WHEN doc_id % 3 = 0 THEN 'index/page_' || doc_id WHEN doc_id % 3 = 1 THEN 'content/page_content_' || (doc_id - 1) || '.json' ELSE 'other/' || doc_id END AS path, lang AS archive, doc_id % 7 AS blob FROM documents)
+SELECT a.idx AS idx, b.idx IS NOT NULL AS record, coalesce(b.idx, a.idx) AS cluster, coalesce(b.blob, a.blob) AS blob FROM e a LEFT JOIN e b ON a.archive = b.archive AND a.archive <> 'en' AND starts_with(a.path, 'index/page_') AND b.path = 'content/page_content_' || a.idx || '.json'""")
+def companions(spark, sf_dir):
+    """Where the content of stub pages lies: in the record beside them, if there is one."""
+    i = F.col("doc_id")
+    path = F.when(i % 3 == 0, F.concat(F.lit("index/page_"), i)).when(i % 3 == 1, F.concat(F.lit("content/page_content_"), i - 1, F.lit(".json"))).otherwise(F.concat(F.lit("other/"), i))
+    e = _table(spark, sf_dir, "documents").select(F.col("lang").alias("archive"), i.alias("idx"), F.lit("C").alias("ns"), path.alias("path"), F.lit("item").alias("kind"), i.alias("cluster"), (i % 7).alias("blob"))
+    adapter = F.when(F.col("archive") == "en", "generic").otherwise("libretexts")
+    return builder.companions(e.withColumn("adapter", adapter), e).select("idx", "record", "cluster", "blob")
+
+
+@_query("sanitised_names", r"SELECT p_partkey, regexp_replace(trim(p_name || ' #' || p_size || ':?'), '[\s/\\:#?]', '_', 'g') AS name FROM part")
+def sanitised_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", C.sanitise_name(F.concat("p_name", F.lit(" #"), "p_size", F.lit(":?"))).alias("name"))
+
+
+@_query("tag_pairs", "SELECT p_partkey, split_part(p_brand, '#', 1) AS key, CAST(NULL AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part")
+def tag_pairs(spark, sf_dir):
+    """Tags of a catalogue row: plain ones, and `_key:value`."""
+    tags = F.concat(F.split_part("p_brand", F.lit("#"), F.lit(1)), F.lit("; ;_size:"), F.col("p_size").cast("string"), F.lit(";"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.explode(C.parse_tags(tags)).alias("t")).select("p_partkey", "t.key", "t.value")
+
+
+@_query("illustration_keys", "SELECT p_partkey, CASE WHEN p_size > 9 THEN p_size END AS width, CASE WHEN p_size > 9 THEN p_size END AS height, CASE WHEN p_size > 9 THEN 1 END AS scale FROM part")
+def illustration_keys(spark, sf_dir):
+    key = F.concat(F.lit("Illustration_"), F.col("p_size"), F.lit("x"), F.col("p_size"), F.when(F.col("p_size") > 9, "@1").otherwise("@"))
+    return _table(spark, sf_dir, "part").select("p_partkey", C.illustration(key).alias("i")).select("p_partkey", "i.*")
+
+
+@_query("point_lookup", f"WITH {_PAGES}, k AS (SELECT DISTINCT archive, path FROM e WHERE page_id % 11 = 0) SELECT e.archive AS archive, e.path AS path, e.idx AS idx FROM e JOIN k ON e.archive = k.archive AND e.path = k.path")
+def point_lookup(spark, sf_dir):
+    """Many lookups by namespace and path at once."""
+    e = page_entries(spark, sf_dir)
+    keys = e.filter("page_id % 11 = 0").select("archive", "ns", "path").distinct()
+    return entries.find_paths(e, keys).select("archive", "path", F.col("idx").cast("long").alias("idx"))
+
+
+@_query("mime_kinds", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'redirect' WHEN doc_id % 4 = 1 THEN 'text/html' ELSE 'unknown' END AS kind FROM documents")
+def mime_kinds(spark, sf_dir):
+    """What an entry is: its type, or its special kind; a type outside the list is unknown."""
+    i = F.col("doc_id") % 4
+    kind, mime = F.when(i == 0, "redirect").otherwise("item"), F.when(i == 1, "text/html")
+    return _table(spark, sf_dir, "documents").select("doc_id", C.kind_or_mime(kind, mime).alias("kind"))
+
+
+@_query("agent_paths", r"SELECT page_id, regexp_replace(split_part(regexp_extract(url, '^https?://[^/]*/(.*)$', 1), '#', 1), '^/+', '') AS path FROM pages")
+def agent_paths(spark, sf_dir):
+    """Paths as callers write them: with a scheme and archive, leading slashes, a fragment."""
+    url = F.regexp_replace("url", "^https?://", "zim://")
+    return _table(spark, sf_dir, "pages").select("page_id", C.agent_path(url).alias("path"))
+
+
+@_query("plain_terms", r"""WITH a AS (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[+#]{4,}', ' ', 'g'), '[+#]+([\p{L}\p{M}\p{N}_])', ' \1', 'g'), '(\p{Nd})\.(\p{Nd})', '\1ᚠ\2', 'g'), '(\p{Nd})\.(\p{Nd})', '\1ᚠ\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\p{Nd}),(\p{Nd})', '\1ᚡ\2', 'g'), '(\p{Nd}),(\p{Nd})', '\1ᚡ\2', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{M}\p{N}_])[''’]([\p{L}\p{M}_])', '\1ᚢ\2', 'g'), '([\p{L}\p{M}_])&([\p{L}\p{M}\p{N}_])', '\1ᚣ\2', 'g') AS t FROM c),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{M}\p{N}_]+[+#]{0,3}')) AS w FROM d),
+z AS (SELECT doc_id, replace(replace(replace(replace(w, 'ᚠ', '.'), 'ᚡ', ','), 'ᚢ', chr(39)), 'ᚣ', '&') AS term FROM w)
+SELECT doc_id, term, count(*) AS n FROM z WHERE strlen(term) <= 64 GROUP BY ALL""")
+def plain_terms(spark, sf_dir):
+    """The full word rules without stems."""
+    docs = storage.spread(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.explode(analyze.index_terms(F.col("text"), F.lit(None).cast("string"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
