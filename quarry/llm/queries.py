@@ -82,6 +82,36 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM w
 """
 
+_OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM d
+), c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s
+), x AS (SELECT rep, n, unnest(s) AS h FROM c
+), e AS (SELECT a.rep AS p, b.rep AS q FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (SELECT p, q FROM e UNION ALL SELECT q, p FROM e
+), r(node, root) AS (SELECT rep, rep FROM c UNION SELECT links.q, r.root FROM r JOIN links ON r.node = links.p
+), m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(m.root, doc_id) AS component_id, doc_id = coalesce(m.root, doc_id) AS kept
+FROM g LEFT JOIN c ON g.s = c.s AND len(g.s) > 0 LEFT JOIN m ON c.rep = m.node
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), w AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 100] AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)
+), m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g
+), hit AS (SELECT w.doc_id AS doc_id, w.p AS p FROM w JOIN m ON w.g = m.g WHERE m.least < w.doc_id
+), n AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit
+), k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM n
+), v AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM k GROUP BY doc_id, i
+), g AS (SELECT v.doc_id AS doc_id, a, z, h[2 * coalesce(lag(z) OVER (PARTITION BY v.doc_id ORDER BY a), 0) + 1:2 * a] AS before FROM v JOIN d ON v.doc_id = d.doc_id
+), t AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(before, '' ORDER BY a) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -121,4 +151,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op8_decontaminate": _OP8, "op10_chat": _OP10}
+    return {"op2_exact_dedup": _OP2, "op4_near_dedup": _OP4, "op6_suffix_dedup": _OP6, "op8_decontaminate": _OP8, "op10_chat": _OP10}
