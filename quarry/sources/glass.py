@@ -3,8 +3,8 @@
     spark.dataSource.register(GlassSource)
     spark.read.format("glass").option("path", "/books/a.zim").option("index", "fulltext").option("table", "postings").load()
 
-`path` is an archive with an uncompressed index (`index`: fulltext or title), or a database file of its own. Tables:
-terms (term, term_freq, coll_freq), postings (term, docid, wdf), lengths (docid, doclen), documents (docid, data),
+`path` names archives with an uncompressed index (`index`: fulltext or title), or database files of their own. Tables, each with
+the archive first: terms (term, term_freq, coll_freq), postings (term, docid, wdf), lengths (docid, doclen), documents (docid, data),
 positions (term, docid, positions), values (slot, docid, value), value_stats (slot, freq, lower, upper), metadata (key, value).
 """
 
@@ -26,14 +26,14 @@ COMPRESSED, LAST, FIRST, SIZE = 0x80, 0x40, 0x20, 0x1FFF
 DIRECTORY = 11
 META, SLOT_STATS, SLOT, LENGTHS = b"\0\xc0", b"\0\xd0", b"\0\xd8", b"\0\xe0"
 SCHEMAS = {
-    "terms": "term binary, term_freq long, coll_freq long",
-    "postings": "term binary, docid long, wdf long",
-    "lengths": "docid long, doclen long",
-    "documents": "docid long, data binary",
-    "positions": "term binary, docid long, positions array<long>",
-    "values": "slot long, docid long, value binary",
-    "value_stats": "slot long, freq long, lower binary, upper binary",
-    "metadata": "key string, value binary",
+    "terms": "archive string, term binary, term_freq long, coll_freq long",
+    "postings": "archive string, term binary, docid long, wdf long",
+    "lengths": "archive string, docid long, doclen long",
+    "documents": "archive string, docid long, data binary",
+    "positions": "archive string, term binary, docid long, positions array<long>",
+    "values": "archive string, slot long, docid long, value binary",
+    "value_stats": "archive string, slot long, freq long, lower binary, upper binary",
+    "metadata": "archive string, key string, value binary",
 }
 _TREE = {"documents": "docdata", "positions": "position"}
 
@@ -484,6 +484,7 @@ def rows(table: str, entries: Iterator[tuple[bytes, bytes]]) -> Iterator[tuple]:
 
 @dataclass
 class Subtree(InputPartition):
+    path: str
     block: int
     level: int
     after: list[int]
@@ -491,23 +492,27 @@ class Subtree(InputPartition):
 
 class GlassReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.index, self.table = options["path"], options.get("index"), options.get("table", "postings")
+        self.paths, self.index, self.table = [p for p in options["path"].split(",") if p], options.get("index"), options.get("table", "postings")
         self.offset, self.length = int(options.get("offset", 0)), int(options["length"]) if "length" in options else None
+        self.labels = zim.labels(self.paths)
 
-    def _tree(self) -> Tree:
-        if self.index:
-            where = zim.Archive(self.path, self.offset, self.length).index_ranges(self.index)
-            if where is None:
-                raise GlassError(f"{self.path} has no {self.index} index that is stored uncompressed")
-            return Database(where).tree(_TREE.get(self.table, "postlist"))
-        return Database(self.path, self.offset, self.length).tree(_TREE.get(self.table, "postlist"))
+    def _tree(self, path: str) -> Tree:
+        name = _TREE.get(self.table, "postlist")
+        if not self.index:
+            return Database(path, self.offset, self.length).tree(name)
+        where = zim.Archive(path, self.offset, self.length).index_ranges(self.index)
+        if where is None:
+            raise GlassError(f"{path} has no {self.index} index that is stored uncompressed")
+        return Database(where).tree(name)
 
     def partitions(self) -> list[Subtree]:
-        return [Subtree(*r) for r in self._tree().ranges()] or [Subtree(-1, 0, [])]
+        return [Subtree(p, *r) for p in self.paths for r in self._tree(p).ranges()] or [Subtree("", -1, 0, [])]
 
     def read(self, part: Subtree) -> Iterator[tuple]:
-        if part.block >= 0:
-            yield from rows(self.table, self._tree().subtree(part.block, part.level, part.after))
+        if part.path:
+            label = self.labels[part.path]
+            for row in rows(self.table, self._tree(part.path).subtree(part.block, part.level, part.after)):
+                yield label, *row
 
 
 class GlassSource(DataSource):

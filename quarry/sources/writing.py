@@ -1,9 +1,95 @@
-"""Builds small databases for the tests: the inverse of what quarry.sources.glass reads."""
+"""Writes archives and the indexes inside them: the inverse of what zim and glass read.
 
+An archive is made in memory, so it is for archives of bounded size: write_archives() cuts a table into many, each in one task.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import lzma
 import struct
 import zlib
+from collections.abc import Callable
+
+import pandas as pd
+import zstandard
+from pyarrow import fs
+from pyspark.sql import DataFrame
 
 from quarry.sources import glass as G
+from quarry.sources import zim
+
+NONE, XZ, ZSTD = 0, 4, 5
+_PACK = {NONE: bytes, XZ: lzma.compress, ZSTD: lambda b: zstandard.ZstdCompressor().compress(b)}
+
+
+def _cluster(blobs: list[bytes], codec: int, wide: bool) -> bytes:
+    unit = "<Q" if wide else "<I"
+    at, table = struct.calcsize(unit) * (len(blobs) + 1), b""
+    for b in [*blobs, b""]:
+        table += struct.pack(unit, at)
+        at += len(b)
+    return bytes([codec | (0x10 if wide else 0)]) + _PACK[codec](table + b"".join(blobs))
+
+
+def archive(entries: list[tuple[str, str, str, bytes | str]], codec: int = ZSTD, wide: bool = False, per_cluster: int = 2, main: int | str | None = 0, listing: bool = False) -> bytes:
+    """An archive of entries (ns, path, title, content, or the path of a redirect's target). Index entries are stored uncompressed.
+
+    main: the header's main page, by number or by path; listing: adds the listing of C entries in order of title.
+    """
+    entries = sorted(entries, key=lambda e: (e[0], e[1].encode()))
+    if listing:
+        place = "listing/titleOrdered/v1"
+        entries = sorted([*entries, ("X", place, "", b"")], key=lambda e: (e[0], e[1].encode()))
+        order = sorted((k for k, e in enumerate(entries) if e[0] == "C"), key=lambda k: ((entries[k][2] or entries[k][1]).encode(), k))
+        entries = [(ns, path, title, struct.pack(f"<{len(order)}I", *order)) if (ns, path) == ("X", place) else (ns, path, title, content) for ns, path, title, content in entries]
+    mimes = b"text/html\0text/plain\0application/octet-stream\0\0"
+    items = [e for e in entries if isinstance(e[3], bytes)]
+    plain = [e for e in items if e[0] == "X"]
+    packed = [e for e in items if e[0] != "X"]
+    where, clusters = {}, []
+    for own, kind in ((packed, codec), (plain, codec if codec != ZSTD and codec != XZ else NONE)):
+        for k in range(0, len(own), per_cluster):
+            part = own[k : k + per_cluster]
+            where |= {(e[0], e[1]): (len(clusters), i) for i, e in enumerate(part)}
+            clusters.append(_cluster([e[3] for e in part], kind, wide))
+    number = {(e[0], e[1]): k for k, e in enumerate(entries)}
+    dirents = []
+    for ns, path, title, content in entries:
+        tail = path.encode() + b"\0" + (b"" if title == path else title.encode()) + b"\0"
+        if isinstance(content, bytes):
+            mime = 2 if ns == "X" else 1 if ns == "M" else 0
+            dirents.append(struct.pack("<HBBIII", mime, 0, ord(ns), 0, *where[ns, path]) + tail)
+        else:
+            dirents.append(struct.pack("<HBBII", zim.REDIRECT, 0, ord(ns), 0, number[("C" if ns == "W" else ns), content]) + tail)
+    at = 80 + len(mimes)
+    path_ptr, at = at, at + 8 * len(entries)
+    cluster_ptr, at = at, at + 8 * len(clusters)
+    pointers = b""
+    for part in (*dirents, *clusters):
+        pointers += struct.pack("<Q", at)
+        at += len(part)
+    page = zim.NONE32 if main is None else number["C", main] if isinstance(main, str) else main
+    head = struct.pack("<IHH16sIIQQQQIIQ", zim.MAGIC, 6, 3, bytes(range(16)), len(entries), len(clusters), path_ptr, zim.NONE64, cluster_ptr, 80, page, zim.NONE32, at)
+    data = head + mimes + pointers + b"".join(dirents) + b"".join(clusters)
+    return data + hashlib.md5(data).digest()
+
+
+def write_archives(rows: DataFrame, folder: str, make: Callable[[pd.DataFrame], bytes], name: str = "archive") -> DataFrame:
+    """One archive for each value of column `name`, as <folder>/<value>.zim in the shared folder: (file, size). Groups are of bounded size."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        data, path = make(pdf), f"{root}/{key[0]}.zim"
+        with files.open_output_stream(path) as f:
+            f.write(data)
+        return pd.DataFrame({"file": [path], "size": [len(data)]})
+
+    return rows.groupBy(name).applyInPandas(run, "file string, size long")
+
+
+# Indexes ------------------------------------------------------------------------------------------------------------------
 
 
 def bits_of(parts):
@@ -121,7 +207,7 @@ class Builder:
         return b"".join(self.blocks)
 
 
-def build(terms, data, positions=None, values=None, meta=None, block_size=2048, per_chunk=20):
+def database(terms, data, positions=None, values=None, meta=None, block_size=2048, per_chunk=20):
     """terms: {term: [(docid, wdf)]}; data: {docid: bytes}; positions: {(term, docid): [...]}; values: {slot: {docid: bytes}}."""
     lengths = {}
     for posts in terms.values():

@@ -67,20 +67,30 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _delete(spark, path)
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    rows: about how many there are at most, where that is known: tasks of a few rows each are then joined to about per_file rows.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // per_file + 1)  # never more parts than there are
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+#: Below so many bytes a core, a table is spread before heavy work on it.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where it is read in fewer parts than there are (one row group is one task) and the work on it is heavy.
+    """df over all cores, where it is small and the work on it is heavy: files of one row group are read by one task, however cut.
 
-    A table of as many parts or more, which any large one is, stays as it is and is not shuffled.
+    The planner's own estimate decides, so nothing runs for it; a large table stays as it is and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df

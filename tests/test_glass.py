@@ -5,8 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.sources import glass as G
-from tests import glass_build, test_zim
-from quarry.sources import zim
+from quarry.sources import writing, zim
 
 
 def sample(n=400, seed=1):
@@ -32,7 +31,7 @@ def all_of(db, table):
 @pytest.fixture(scope="module", params=[2048, 8192])
 def made(request):
     parts = sample()
-    return parts, glass_build.build(*parts, block_size=request.param)
+    return parts, writing.database(*parts, block_size=request.param)
 
 
 def test_scans(made):
@@ -69,7 +68,7 @@ def test_lookups(made):
 
 
 def test_empty_tables():
-    db = G.Database(glass_build.build({}, {}))
+    db = G.Database(writing.database({}, {}))
     assert not db.has("position") and all_of(db, "positions") == [] and list(db.postings(b"x")) == [] and db.data(1) is None and db.positions(b"x", 1) == []
 
 
@@ -78,7 +77,7 @@ def test_empty_tables():
 def test_positions_round_trip(xs):
     pos = sorted(xs)
     if pos not in ([0], [0, 1]):  # these have the bytes of an empty and of a shorter list
-        assert G.decode_positions(glass_build.pack_positions(pos)) == pos
+        assert G.decode_positions(writing.pack_positions(pos)) == pos
 
 
 @settings(max_examples=300, deadline=None)
@@ -91,7 +90,7 @@ def test_packed_values(a, b, t):
 
 
 def test_broken_bytes():
-    raw = glass_build.build(*sample(100), block_size=2048)
+    raw = writing.database(*sample(100), block_size=2048)
     for bad in (b"", raw[:20], b"x" + raw[1:], raw[:14] + b"\0\0" + raw[16:]):
         with pytest.raises(G.GlassError):
             G.Database(bad)
@@ -117,10 +116,11 @@ def test_broken_bytes():
 def test_inside_an_archive(spark, tmp_path):
     """The index of an archive, read by Spark from where it lies; one that is stored compressed is not."""
     terms, data, positions, values, meta = sample(120)
-    raw = glass_build.build(terms, data, positions, values, meta)
+    raw = writing.database(terms, data, positions, values, meta)
     rows = [("C", "Apple", "Apple", b"<p>a"), ("X", "fulltext/xapian", "", raw)]
-    (tmp_path / "a.zim").write_bytes(test_zim.build(rows, 0))
-    (tmp_path / "b.zim").write_bytes(test_zim.build(rows, 5))
+    (tmp_path / "a.zim").write_bytes(writing.archive(rows, 0))
+    packed = writing.archive([*rows[:1], ("C", "odd", "", raw)], 5)
+    (tmp_path / "b.zim").write_bytes(packed)
     a = zim.Archive(str(tmp_path / "a.zim"))
     ((path, at, n),) = a.index_ranges("fulltext")
     assert open(path, "rb").read()[at : at + n] == raw and a.index_ranges("title") is None

@@ -1,49 +1,12 @@
-import hashlib
-import lzma
 import struct
 
 import pytest
-import zstandard
-
-from quarry.sources import zim
-
-
-def build(entries, codec=0, extended=False, checksum=True):
-    """A small archive: entries (ns, path, title, content or redirect path); one cluster for two items."""
-    entries = sorted(entries, key=lambda e: (e[0], e[1].encode()))
-    mimes, items = b"text/html\0text/plain\0\0", [e for e in entries if isinstance(e[3], bytes)]
-    where = {(e[0], e[1]): (k // 2, k % 2) for k, e in enumerate(items)}
-    clusters, w = [], "<Q" if extended else "<I"
-    for k in range(0, len(items), 2):
-        blobs = [e[3] for e in items[k : k + 2]]
-        at, table = struct.calcsize(w) * (len(blobs) + 1), b""
-        for b in [*blobs, b""]:
-            table += struct.pack(w, at)
-            at += len(b)
-        body = table + b"".join(blobs)
-        body = {0: lambda b: b, 4: lzma.compress, 5: zstandard.ZstdCompressor().compress}[codec](body)
-        clusters.append(bytes([codec | (0x10 if extended else 0)]) + body)
-    index = {(e[0], e[1]): k for k, e in enumerate(entries)}
-    dirents = []
-    for ns, path, title, content in entries:
-        tail = path.encode() + b"\0" + (b"" if title == path else title.encode()) + b"\0"
-        if isinstance(content, bytes):
-            dirents.append(struct.pack("<HBBIII", 0, 0, ord(ns), 0, *where[ns, path]) + tail)
-        else:
-            dirents.append(struct.pack("<HBBII", 0xFFFF, 0, ord(ns), 0, index[ns, content]) + tail)
-    at = 80 + len(mimes)
-    path_ptr, at = at, at + 8 * len(entries)
-    cluster_ptr, at = at, at + 8 * len(clusters)
-    ptrs = b""
-    for d in dirents:
-        ptrs += struct.pack("<Q", at)
-        at += len(d)
-    for c in clusters:
-        ptrs += struct.pack("<Q", at)
-        at += len(c)
-    head = struct.pack("<IHH16sIIQQQQIIQ", zim.MAGIC, 6, 3, bytes(range(16)), len(entries), len(clusters), path_ptr, zim.NONE64, cluster_ptr, 80, 0, zim.NONE32, at)
-    data = head + mimes + ptrs + b"".join(dirents) + b"".join(clusters)
-    return data + hashlib.md5(data).digest()
+
+from quarry.sources import writing, zim
+
+
+def build(entries, codec=0, extended=False):
+    return writing.archive(entries, codec, extended)
 
 
 ROWS = [("C", "Apple", "Apple", b"<p>a"), ("C", "Apple_pie", "Apple pie", b"<p>pie"), ("C", "Apples", "Apples", "Apple"), ("C", "zebra", "zebra", b""), ("M", "Title", "Title", b"Sample")]
