@@ -53,15 +53,32 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         return F.struct(before.alias("before"), escape(t["text"]).alias("body"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("loss"))
 
     rows = rows.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    rows = rows.select("conv_id", "pieces", F.transform("pieces", lambda p: F.length(p["before"]) + F.length(p["body"])).alias("sizes"))
+    rows = rows.select("*", _starts_of_blocks(F.col("sizes")).alias("blocks"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin, n = acc["at"] + F.length(p["before"]), F.length(p["body"])
-        span = F.array(F.struct(begin.alias("start"), n.alias("length")))
-        return F.struct((begin + n).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def span(p: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        at = F.get(F.col("blocks"), block) + _total(F.slice("sizes", block * BLOCK + 1, i % BLOCK))
+        return F.struct((at + F.length(p["before"])).alias("start"), F.length(p["body"]).alias("length"), p["loss"].alias("loss"))
 
     text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"])), ""), F.lit(END))
-    return rows.select("conv_id", text.alias("formatted"), F.aggregate("pieces", start, step, lambda a: a["spans"]).alias("mask"))
+    spans = F.filter(F.transform("pieces", span), lambda s: s["loss"])
+    return rows.select("conv_id", text.alias("formatted"), F.transform(spans, lambda s: F.struct(s["start"], s["length"])).alias("mask"))
+
+
+#: Positions are summed in blocks of so many turns: a turn adds up its own block, a block the blocks before it.
+BLOCK = 256
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda x, y: x + y)
+
+
+def _starts_of_blocks(sizes: Column) -> Column:
+    """Where each block of BLOCK turns begins."""
+    count = F.greatest(F.lit(1), F.ceil(F.size(sizes) / BLOCK).cast("int"))
+    totals = F.transform(F.sequence(F.lit(0), count - 1), lambda k: _total(F.slice(sizes, k * BLOCK + 1, BLOCK)))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: _total(F.slice(totals, F.lit(1), k)))
 
 
 def parse_turns(formatted: Column) -> Column:

@@ -30,10 +30,10 @@ def _bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """storage.materialise(), with the session's Arrow batches bounded."""
     _bound_batches(df.sparkSession)
-    return storage.materialise(df, name, codec)
+    return storage.materialise(df, name, codec, rows, per_file)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.materialise(now, "edges")
     mark = _mark(now)
     while mark[0]:
-        old, now = now, common.materialise(_stars(now), "edges")
+        old, now = now, common.materialise(_stars(now), "edges", rows=2 * mark[0])
         common.release(old)
         new = _mark(now)
         if new == mark:

@@ -306,8 +306,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rows, named = _components(common.documents(docs), n, percent)
     least = named.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
     named = named.join(least, F.col("root") == F.col("r")).select("set_key", "n_rows", "component")
-    named = common.materialise(named, "components")
-    out = common.join_by_key(rows.select("doc_id", "n_shingles", "set_key"), named, "set_key", "n_rows", rows.count(), "left")
+    total = rows.count()
+    named = common.materialise(named, "components", rows=total)
+    out = common.join_by_key(rows.select("doc_id", "n_shingles", "set_key"), named, "set_key", "n_rows", total, "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -317,17 +318,18 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     bands = common.materialise(every.join(shared, "key"), "shared-bands")
     common.release(every)
+    size = bands.count()
     sets = common.materialise(_sets(docs, classes.join(bands.select("node").distinct(), "node", "left_semi").select("node", "set_key", "row_key", "text_key"), n), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        likely = common.materialise(_likely(pairs, classes, percent), "likely")
-        found = common.materialise(_confirmed(likely, sets, percent), "links")
+        likely = common.materialise(_likely(pairs, classes, percent), "likely", rows=size, per_file=5_000)
+        found = common.materialise(_confirmed(likely, sets, percent), "links", rows=size, per_file=5_000)
         common.release(likely)
         return found
 
     own = F.col("node").alias("comp")
     few = bands.filter(F.col("members") <= ALL_PAIRS).select("key", "node", own)
-    many = common.materialise(bands.filter(F.col("members") > ALL_PAIRS).select("key", "node"), "large-bands")
+    many = common.materialise(bands.filter(F.col("members") > ALL_PAIRS).select("key", "node"), "large-bands", rows=size)
     links = confirm(_cross_pairs(few).unionByName(_leader_pairs(many.select("key", "node", own), 0)).distinct())
     if not many.take(1):
         return links
@@ -335,11 +337,11 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
         roots = components(links)
         now = many.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        open_rows = common.materialise(now.join(mixed, "key", "left_semi"), "open-bands")
+        open_rows = common.materialise(now.join(mixed, "key", "left_semi"), "open-bands", rows=size)
         if not open_rows.take(1):
             break
         new = confirm(_leader_pairs(open_rows, turn)) if turn < LEADERS else _open_links(open_rows, sets, percent)
-        links = common.materialise(links.unionByName(new), "all-links")
+        links = common.materialise(links.unionByName(new), "all-links", rows=size)
         common.release(open_rows)
     return links
 

@@ -29,6 +29,14 @@ def test_same_as_library(library):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_one_very_long_word(library):
+    """Texts without white space are one word each, of letters that merge little and of letters that merge much."""
+    r = random.Random(8)
+    for t in ("".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(60_000)), "the" * 30_000):
+        ids = next(bpe.ByteBPE(PATH).encode_batch([t])).tolist()
+        assert ids == library.encode(t, add_special_tokens=False).ids and bpe.ByteBPE(PATH).decode(ids) == t
+
+
 def test_small_memory_gives_the_same():
     a, b = bpe.ByteBPE(PATH), bpe.ByteBPE(PATH, limit=3)
     for x, y in zip(a.encode_batch(ODD), b.encode_batch(ODD), strict=True):
