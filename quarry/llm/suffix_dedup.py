@@ -41,8 +41,11 @@ CUT = 0xFF  # never a byte of UTF-8
 BLOCK = "block long, n_anchors long, doc_ids binary, lengths binary, data binary"
 
 
-def _pack(data) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else data.tobytes())
+TEXT_LEVEL = 5  # of compression, for texts: they are written and shuffled several times
+
+
+def _pack(data, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data if isinstance(data, bytes) else data.tobytes())
 
 
 def _unpack(data: bytes, kind=np.uint8) -> np.ndarray:
@@ -125,7 +128,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def flush():
             lengths = np.array([len(t) for t in texts], np.int64)
-            row = number, int(lengths.sum()), np.array(ids, np.int64).tobytes(), lengths.tobytes(), _pack(b"".join(t + b"\xff" for t in texts))
+            row = number, int(lengths.sum()), np.array(ids, np.int64).tobytes(), lengths.tobytes(), _pack(b"".join(t + b"\xff" for t in texts), TEXT_LEVEL)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for b in batches:
@@ -300,7 +303,7 @@ def _ask_segments(blocks: DataFrame, shared: DataFrame, shards: int, hot_shards:
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             mine = order[i:j]
             texts = list(map(s.bytes_of, mine.tolist()))
-            rows.append((int(sorted_shard[i]), int(key[0]), mine.astype(np.int64).tobytes(), _pack(np.array([len(t) for t in texts], np.int64)), s.least[mine].tobytes(), _pack(b"".join(texts))))
+            rows.append((int(sorted_shard[i]), int(key[0]), mine.astype(np.int64).tobytes(), _pack(np.array([len(t) for t in texts], np.int64)), s.least[mine].tobytes(), _pack(b"".join(texts), TEXT_LEVEL)))
         return pd.DataFrame(rows, columns=["shard", "block", "segment", "sizes", "least", "data"]).astype({"shard": "int64", "block": "int64"})
 
     return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, "shard long, block long, segment binary, sizes binary, least binary, data binary")
