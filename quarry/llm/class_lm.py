@@ -50,6 +50,28 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _pack_ids(a: np.ndarray) -> bytes:
+    """Small numbers most of the time: bytes of equal weight lie together, so they compress near to their entropy."""
+    return zstandard.ZstdCompressor(level=3).compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_ascending(a: np.ndarray) -> bytes:
+    return _pack_ids(np.diff(a, prepend=0))
+
+
+def _unpack_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack_ids(data).astype(np.int64))
+
+
+def _by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Places of a block's dictionary, the words most frequent in training first: tokens are stored by this rank."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 def held_out(doc_id) -> bool:
     return common.crc_of_id(doc_id) % 7 == 2
 
@@ -66,9 +88,11 @@ def _block(number: int, ids: list, held: list, parts: list[np.ndarray]) -> dict:
     words, local = np.unique(flat, return_inverse=True)
     train = np.repeat(~np.array(held, bool), lengths)
     counts = np.bincount(local[train], minlength=len(words))
+    rank = np.empty(len(words), np.int64)
+    rank[_by_frequency(counts)] = np.arange(len(words))
     return {
         "block": number, "n_words": len(words), "train_docs": int((~np.array(held, bool)).sum()), "train_tokens": int(train.sum()), "doc_ids": np.array(ids, np.int64).tobytes(),
-        "held": np.array(held, np.uint8).tobytes(), "lengths": lengths.tobytes(), "tokens": _pack(local.astype(np.uint32)), "words": words.tobytes(), "counts": _pack(counts.astype(np.uint32)),
+        "held": np.array(held, np.uint8).tobytes(), "lengths": lengths.tobytes(), "tokens": _pack_ids(rank[local]), "words": words.tobytes(), "counts": _pack_ids(counts),
     }
 
 
@@ -108,8 +132,8 @@ class Block:
     """One row of the block table, unpacked."""
 
     def __init__(self, words: bytes, counts: bytes, tokens: bytes, lengths: bytes, held: bytes):
-        self.words, self.counts = np.frombuffer(words, np.uint64), _unpack(counts, np.uint32)
-        self.tokens, self.lengths = _unpack(tokens, np.uint32), np.frombuffer(lengths, np.int64)
+        self.words, self.counts = np.frombuffer(words, np.uint64), _unpack_ids(counts)
+        self.tokens, self.lengths = _by_frequency(self.counts)[_unpack_ids(tokens)], np.frombuffer(lengths, np.int64)
         self.train = np.repeat(np.frombuffer(held, np.uint8) == 0, self.lengths)
 
     def labels(self, seeds: np.ndarray, of_seed: np.ndarray, other: int, end: int) -> np.ndarray:
@@ -303,7 +327,7 @@ def _answers(blocks: DataFrame, seeds: np.ndarray, of: np.ndarray, model: np.nda
                 out = [[], [], [], [], [], []]
                 for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     mine = slice(at[k], at[k + 1])
-                    for col, v in zip(out, (int(bucket[i]), number, b.words[i:j].tobytes(), _pack(b.counts[i:j]), _pack((cell[mine] - i * cells).astype(np.uint32)), _pack(n[mine].astype(np.uint32))), strict=True):
+                    for col, v in zip(out, (int(bucket[i]), number, b.words[i:j].tobytes(), _pack_ids(b.counts[i:j]), _pack_ascending(cell[mine] - i * cells), _pack_ids(n[mine])), strict=True):
                         col.append(v)
                 kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "block", "words", "counts", "cells", "n"])
@@ -312,7 +336,7 @@ def _answers(blocks: DataFrame, seeds: np.ndarray, of: np.ndarray, model: np.nda
         seeds, of, model = shared.value
         asked = [np.frombuffer(w, np.uint64) for w in pdf["words"]]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([_unpack(c, np.uint32) for c in pdf["counts"]]), minlength=len(words)).astype(np.int64)
+        counts = np.bincount(at, weights=np.concatenate([_unpack_ids(c) for c in pdf["counts"]]), minlength=len(words)).astype(np.int64)
         # A word at a time in slices, so the dense table stays small.
         where, weight = _placed(asked, at, pdf, cells)
         of_word = np.empty(len(words), np.int64)
@@ -374,7 +398,7 @@ def _contexts(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
         for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             part = slice(at[k], at[k + 1])
             bucket = int(_bucket_of(b.words[i : i + 1], buckets)[0])
-            rows.append((bucket, int(key[0]), b.words[i:j].tobytes(), _pack(counts[i:j]), _pack(of[i:j].astype(np.uint8)), _pack((cell[part] - i * CELLS).astype(np.uint32)), _pack(n[part].astype(np.uint32)), None if k else matrix.tolist()))
+            rows.append((bucket, int(key[0]), b.words[i:j].tobytes(), _pack(counts[i:j]), _pack(of[i:j].astype(np.uint8)), _pack_ascending(cell[part] - i * CELLS), _pack_ids(n[part]), None if k else matrix.tolist()))
         return pd.DataFrame(rows, columns=["bucket", "block", "words", "counts", "classes", "cells", "n", "matrix"])
 
     return blocks.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInPandas(run, CONTEXT)
@@ -413,9 +437,9 @@ def _placed(asked: list[np.ndarray], at: np.ndarray, pdf: pd.DataFrame, cells: i
     """The blocks' cells by word of the bucket, sorted, and their counts."""
     where, weight, first = [], [], 0
     for w, c, n in zip(asked, pdf["cells"], pdf["n"], strict=True):
-        c = _unpack(c, np.uint32).astype(np.int64)
+        c = _unpack_ascending(c)
         where.append(at[first : first + len(w)][c // cells] * cells + c % cells)
-        weight.append(_unpack(n, np.uint32))
+        weight.append(_unpack_ids(n))
         first += len(w)
     where, weight = np.concatenate(where), np.concatenate(weight)
     order = np.argsort(where, kind="stable")
