@@ -41,6 +41,11 @@ def test_any_text(text):
         ("spanish", "chicos:chic rapidamente:rapid torneado:torn cheques:chequ toreros:torer"),
         ("swedish", "jaktkarlarne:jaktkarl klostret:klostret kloster:klost"),
         ("danish", "undersogelse:undersog"),
+        ("french", "continua:continu continuait:continu continuation:continu majestueusement:majestu majestueux:majestu main:main maintenir:mainten majeur:majeur chevaux:cheval nationaux:national"),
+        ("italian", "abbandonata:abbandon abbandonava:abbandon abbandonerai:abbandon pronto:pront pronuncia:pronunc pronunciare:pronunc propaga:propag"),
+        ("portuguese", "boa:boa boas:boas boba:bob boca:boc quilometros:quilometr quilombo:quilomb quimicos:quimic"),
+        ("dutch", "lichaamsziek:lichaamsziek lichamelijk:licham lichamelijke:licham lichten:licht opgingen:opging opglimlachten:opglimlacht"),
+        ("russian", "в:в вавиловка:вавиловк важная:важн важнее:важн важного:важн падает:пада падал:пада важно:важн"),
         ("norwegian", "havnedistriktene:havnedistrikt"),
     ],
 )
@@ -50,6 +55,11 @@ def test_stems(language, pairs):
         assert S.STEMMERS[language](word) == want, word
 
 
+@given(st.sampled_from(sorted(S.STEMMERS)), st.text("abcdefghijklmnopqrstuvwxyz'éвшаяинсть", max_size=12))
+def test_any_word(language, word):
+    assert len(S.STEMMERS[language](word)) <= len(word) + 1
+
+
 def test_terms():
     assert A.terms("The Documentation of Git's repositories", "eng,fra") == ["the", "document", "of", "git", "repositori"]
     assert A.terms("Running", "xx") == A.terms("Running") == ["running"] and A.terms("x" * 65) == [] and A.terms(None) == []
