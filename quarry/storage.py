@@ -70,12 +70,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
 def materialise(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
 
-    rows: about how many there are at most, where that is known: tasks of a few rows each are then joined to about per_file rows.
+    rows: about how many there are at most, where that is known: few narrow rows of many tasks are dealt to few files then.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    if rows is not None:
-        df = df.coalesce(rows // per_file + 1)  # never more parts than there are
+    if rows is not None and rows // per_file + 1 < int(spark.conf.get("spark.sql.shuffle.partitions", "200")):
+        df = df.repartition(rows // per_file + 1)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
