@@ -322,8 +322,8 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
     sets = common.materialise(_sets(docs, classes.join(bands.select("node").distinct(), "node", "left_semi").select("node", "set_key", "row_key", "text_key"), n), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        likely = common.materialise(_likely(pairs, classes, percent), "likely", rows=size, per_file=5_000)
-        found = common.materialise(_confirmed(likely, sets, percent), "links", rows=size, per_file=5_000)
+        likely = common.materialise(_likely(pairs, classes, percent), "likely", rows=size)
+        found = common.materialise(_confirmed(likely, sets, percent), "links", rows=size)
         common.release(likely)
         return found
 
