@@ -8,7 +8,8 @@ bisection for each shard, and the shards are cut there. The law that holds is `b
 Slots are numbered in blocks of a shard, and each block begins where those before it end, so no task ever holds a whole shard.
 
 Defined results: null counts as the empty text for grouping, has no bytes and the crc32 of nothing; repeated rows get a slot
-each; a null doc_id sorts first in its block; an empty table gives no rows; with fewer groups than shards some shards stay
+each; a null doc_id sorts first in its block; very long texts are hashed and measured whole on the JVM, and one above a share has a shard
+of its own; an empty table gives no rows; with fewer groups than shards some shards stay
 empty; extra columns are not read.
 """
 
