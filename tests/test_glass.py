@@ -1,9 +1,11 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quarry.plans import registry
 from quarry.sources import glass as G
 from quarry.sources import writing, zim
 
@@ -133,3 +135,13 @@ def test_inside_an_archive(spark, tmp_path):
     assert {(bytes(r.term), r.docid): r.positions for r in read.option("table", "positions").load().collect()} == positions
     with pytest.raises(Exception, match="uncompressed"):
         spark.read.format("glass").option("path", str(tmp_path / "b.zim")).option("index", "fulltext").load().collect()
+
+
+def shuffled(table):
+    """A table of an archive's index that is made of documents in any order."""
+    pdf = pd.DataFrame({"archive": "en-0", "doc_id": [3, 1, 2], "text": ["pier mole", "mole quay mole", "quay"]})
+    return sorted(all_of(G.Database(zim.Archive(registry._make_archive(pdf)).index_ranges("fulltext")), table))
+
+
+def test_positions_of_documents_in_any_order():
+    assert shuffled("positions") == [(b"mole", 1, [1, 3]), (b"mole", 3, [2]), (b"pier", 3, [1]), (b"quay", 1, [2]), (b"quay", 2, [1])]
