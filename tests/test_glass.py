@@ -145,3 +145,7 @@ def shuffled(table):
 
 def test_positions_of_documents_in_any_order():
     assert shuffled("positions") == [(b"mole", 1, [1, 3]), (b"mole", 3, [2]), (b"pier", 3, [1]), (b"quay", 1, [2]), (b"quay", 2, [1])]
+
+
+def test_postings_of_documents_in_any_order():
+    assert shuffled("postings") == [(b"mole", 1, 2), (b"mole", 3, 1), (b"pier", 3, 1), (b"quay", 1, 1), (b"quay", 2, 1)]
