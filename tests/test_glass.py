@@ -149,3 +149,7 @@ def test_positions_of_documents_in_any_order():
 
 def test_postings_of_documents_in_any_order():
     assert shuffled("postings") == [(b"mole", 1, 2), (b"mole", 3, 1), (b"pier", 3, 1), (b"quay", 1, 1), (b"quay", 2, 1)]
+
+
+def test_values_of_documents_in_any_order():
+    assert shuffled("values") == [(0, 1, b"mole quay mole"), (0, 2, b"quay"), (0, 3, b"pier mole"), (1, 1, b"3"), (1, 2, b"1"), (1, 3, b"2")]
