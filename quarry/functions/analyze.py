@@ -1,16 +1,19 @@
 """The full text analysis: accents, word rules, unbroken scripts, stems. Kernels first, their Arrow functions below.
 
-A text is cut by one regular expression, so each rule is one alternative of it. Stems are remembered by word.
+A text is cut by one regular expression, so each rule is one alternative of it. No rule looks over white space, so the terms of what
+stands between it are remembered, and stems by word.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -79,7 +82,7 @@ class _Stems(dict):
         self.stem = stemmer_for(language)
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = s = self.stem(word) if self.stem else word
         return s
@@ -89,11 +92,39 @@ def stem(word: str, language: str | None) -> str:
     return _Stems(language)[word]
 
 
+@lru_cache(64)
+class _Chunks(dict):
+    """What stands between white space -> its terms in one language; long ones are not kept, and all are let go at a fixed number."""
+
+    def __init__(self, language: str | None):
+        self.stems = _Stems(language)
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        stems, bare = self.stems, remove_accents(chunk)
+        word = bare.strip(".,;:!?")  # these join at most what is on both sides of them
+        words = [word] if word.isascii() and word.isalnum() else tokenize(bare)
+        found = (stems[w] for w in words if len(w) <= 16 or len(w.encode()) <= MAX_BYTES)
+        out = tuple(s for s in found if s)
+        if len(chunk) <= 48:
+            if len(self) >= 200_000:
+                self.clear()
+            self[chunk] = out
+        return out
+
+
 def terms(text: str | None, language: str | None = None) -> list[str]:
     """The index terms of a text: words of at most 64 bytes, stemmed."""
-    stems = _Stems(language)
-    found = (stems[w] for w in tokenize(remove_accents(text or "")) if len(w) <= 16 or len(w.encode()) <= MAX_BYTES)
-    return [s for s in found if s]
+    chunks = _Chunks(language)
+    return [s for c in (text or "").split() for s in chunks[c]]
+
+
+def term_counts(text: str | None, language: str | None = None) -> dict[str, int]:
+    """How often a text has each of its terms."""
+    chunks, out = _Chunks(language), {}
+    for c, n in Counter((text or "").split()).items():
+        for s in chunks[c]:
+            out[s] = out.get(s, 0) + n
+    return out
 
 
 def partial_stem(word: str, language: str | None = None) -> str:
@@ -133,3 +164,56 @@ def bare_words(text: Column) -> Column:
 
 def without_accents(text: Column) -> Column:
     return _bare(text)
+
+
+#: So many different terms are held before they are handed on.
+HELD = 200_000
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, archive, term, n) of docs (doc_id, archive, text, language): the terms of each row, counted where the text is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found, counts = [], [], []
+            for k, (text, language) in enumerate(zip(b["text"], b["language"], strict=True)):
+                own = term_counts(text.as_py(), language.as_py())
+                at += [k] * len(own)
+                found += own
+                counts += own.values()
+                if len(at) > HELD or k + 1 == len(b):
+                    rows = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["archive"].take(rows), pa.array(found, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "archive", "term", "n"])
+                    at, found, counts = [], [], []
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.select("doc_id", "archive", "text", "language").mapInArrow(run, f"doc_id {kinds['doc_id']}, archive {kinds['archive']}, term string, n long")
+
+
+def term_totals(docs: DataFrame) -> DataFrame:
+    """(archive, term, term_freq, coll_freq) of docs (archive, text, language), of which each row is a document; in parts that may repeat a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            archives, found = zip(*held) if held else ((), ())
+            docs_, counts = zip(*held.values()) if held else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(archives, pa.string()), pa.array(found, pa.string()), pa.array(docs_, pa.int64()), pa.array(counts, pa.int64())], ["archive", "term", "term_freq", "coll_freq"])
+
+        for b in batches:
+            for archive, text, language in zip(b["archive"], b["text"], b["language"], strict=True):
+                name = archive.as_py()
+                for t, n in term_counts(text.as_py(), language.as_py()).items():
+                    own = held.get((name, t))
+                    if own is None:
+                        held[name, t] = [1, n]
+                    else:
+                        own[0] += 1
+                        own[1] += n
+                if len(held) > HELD:
+                    yield rows()
+                    held.clear()
+        yield rows()
+
+    return docs.select("archive", "text", "language").mapInArrow(run, "archive string, term string, term_freq long, coll_freq long")

@@ -1,10 +1,13 @@
+from collections import Counter
+
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import analyze as A
 from quarry.functions import stemmers as S
+from quarry.plans import registry
 
 
 def test_accents():
@@ -70,3 +73,23 @@ def test_columns(spark):
     df = spark.createDataFrame([("Running É", "en"), (None, "de"), ("Running", None)], "t string, l string")
     rows = df.select(A.index_terms(F.col("t"), F.col("l")).alias("a"), A.bare_words(F.col("t")).alias("b"), A.without_accents(F.col("t")).alias("c")).collect()
     assert [tuple(r) for r in rows] == [(["run", "e"], ["running", "e"], "running e"), ([], [], None), (["running"], ["running"], "running")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Quay", "ÉTÉ", "c++", "a.b", "1.5", "it's", ".5,", "水路", "Σας", "x_y", "U.S.A.", "&", "é", "​", " ", "\n", "\x85", "\xa0", "#", "."]), max_size=12).map("".join))
+def test_no_rule_looks_over_white_space(text):
+    assert A.terms(text) == [w for w in A.tokenize(A.remove_accents(text)) if len(w.encode()) <= A.MAX_BYTES]
+    assert A.term_counts(text) == dict(Counter(A.terms(text)))
+
+
+ROWS = [("a", 1, "Quay quay mole", "en"), ("b", 2, "mole", None), ("a", 3, None, "en"), ("a", 4, "Quay", "en")]
+
+
+def test_terms_are_counted_without_bringing_documents_together(spark, tmp_path):
+    spark.createDataFrame([(i, t, a) for a, i, t, _ in ROWS], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()["index_terms"](spark, str(tmp_path))
+    assert "doc_id" not in df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert sorted(map(tuple, df.collect())) == [("a", "mole", 1, 1), ("a", "quay", 2, 3), ("b", "mole", 1, 1)]
+    twice = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    twice.unionByName(twice).write.parquet(f"{tmp_path}/twice/documents.parquet")
+    assert sorted(map(tuple, registry.queries()["index_terms"](spark, f"{tmp_path}/twice").collect())) == [("a", "mole", 1, 2), ("a", "quay", 2, 6), ("b", "mole", 1, 2)]
