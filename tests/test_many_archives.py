@@ -3,6 +3,8 @@
 import pickle
 
 import pytest
+from pyspark.sql.datasource import EqualTo
+
 from quarry.sources import writing, zim
 
 N = 600
@@ -39,3 +41,9 @@ def test_archives_are_dealt_to_few_tasks(paths):
     assert zim.packs(paths[: zim.PLANNED]) == (paths[: zim.PLANNED], [])
     assert len(pickle.dumps(reader(paths))) == len(pickle.dumps(reader(paths[:1])))
     assert rows(reader(paths)) == one_by_one(paths, "entries")
+
+
+def test_a_filter_holds_in_archives_that_are_read_whole(paths):
+    r = reader(paths)
+    assert list(r.pushFilters([EqualTo(("ns",), "M")])) == []
+    assert [x[2:4] for x in rows(r)] == [("M", "Title")] * N and len(r.partitions()) <= zim.LEAST + 1
