@@ -40,14 +40,16 @@ def opened(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p in b["file"]:
+            rows = []
+            for p, label in zip(b["file"], b["label"], strict=True):
                 try:
-                    row = (p, labels[p], None, *_flags(zim.Archive(p)))
+                    rows.append((p, label, None, *_flags(zim.Archive(p))))
                 except (zim.ZimError, OSError) as e:
-                    row = (p, labels[p], str(e), *[None] * 11)
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in OPENED.split(", ")]).astype({"main_idx": "Int64", "size": "Int64", "fulltext_docs": "Int64", "title_docs": "Int64"})
+                    rows.append((p, label, str(e), *[None] * 11))
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in OPENED.split(", ")]).astype({"main_idx": "Int64", "size": "Int64", "fulltext_docs": "Int64", "title_docs": "Int64"})
 
-    return spark.createDataFrame([(p,) for p in paths], "file string").repartition(min(len(paths), 4096)).mapInPandas(run, OPENED)
+    return storage.dealt(spark, [(p, labels[p]) for p in paths], "file string, label string").mapInPandas(run, OPENED)
 
 
 def contents(items: DataFrame, paths: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import pickle
 import pytest
 from pyspark.sql.datasource import EqualTo
 
+from quarry import builder
 from quarry.sources import writing, zim
 
 N = 600
@@ -47,3 +48,10 @@ def test_a_filter_holds_in_archives_that_are_read_whole(paths):
     r = reader(paths)
     assert list(r.pushFilters([EqualTo(("ns",), "M")])) == []
     assert [x[2:4] for x in rows(r)] == [("M", "Title")] * N and len(r.partitions()) <= zim.LEAST + 1
+
+
+def test_many_archives_are_opened_in_few_tasks(spark, paths):
+    found = builder.opened(spark, [*paths, "/none.zim"])
+    assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    got = found.collect()
+    assert sorted(r.file for r in got if r.error is None and r.fulltext_docs == 1) == paths and [r.file for r in got if r.error] == ["/none.zim"]
