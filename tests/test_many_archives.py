@@ -5,7 +5,7 @@ import pickle
 import pytest
 from pyspark.sql.datasource import EqualTo
 
-from quarry import builder
+from quarry import builder, integrity
 from quarry.sources import writing, zim
 
 N = 600
@@ -55,3 +55,9 @@ def test_many_archives_are_opened_in_few_tasks(spark, paths):
     assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
     got = found.collect()
     assert sorted(r.file for r in got if r.error is None and r.fulltext_docs == 1) == paths and [r.file for r in got if r.error] == ["/none.zim"]
+
+
+def test_many_archives_are_checked_in_few_tasks(spark, paths):
+    found = integrity.problems(spark, paths, integrity.FULL)
+    assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    assert [(r.file, r.check) for r in found.collect()] == [(paths[7], "checksum")]
