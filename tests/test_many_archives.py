@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql.datasource import EqualTo
 
 from quarry import builder, integrity
-from quarry.sources import writing, zim
+from quarry.sources import glass, writing, zim
 
 N = 600
 
@@ -61,3 +61,10 @@ def test_many_archives_are_checked_in_few_tasks(spark, paths):
     found = integrity.problems(spark, paths, integrity.FULL)
     assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
     assert [(r.file, r.check) for r in found.collect()] == [(paths[7], "checksum")]
+
+
+def test_blobs_titles_and_indexes_of_archives_that_are_read_whole(paths):
+    assert rows(reader(paths, "blobs")) == one_by_one(paths, "blobs") and rows(reader(paths, "titles")) == one_by_one(paths, "titles")
+    for table in ("positions", "lengths", "documents"):
+        r = reader(paths, table, glass.GlassReader, index="fulltext")
+        assert len(r.partitions()) <= zim.LEAST + 1 and rows(r) == one_by_one(paths, table, glass.GlassReader, index="fulltext")
