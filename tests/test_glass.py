@@ -153,3 +153,11 @@ def test_postings_of_documents_in_any_order():
 
 def test_values_of_documents_in_any_order():
     assert shuffled("values") == [(0, 1, b"mole quay mole"), (0, 2, b"quay"), (0, 3, b"pier mole"), (1, 1, b"3"), (1, 2, b"1"), (1, 3, b"2")]
+
+
+def test_packed_numbers_at_the_edges_of_their_sizes():
+    for n in (0, 1, 0x7F, 0x80, (1 << 14) - 1, 1 << 14, (1 << 21) - 1, 1 << 21):
+        raw = G.pack_number(n)
+        assert G.Packed(raw).number() == n and len(raw) == max(1, (n.bit_length() + 6) // 7)
+    with pytest.raises(ValueError):
+        G.pack_number(-1)
