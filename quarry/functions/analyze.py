@@ -10,6 +10,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -45,12 +46,22 @@ def _cutter(ngrams: bool):
 _FOLD = {0x2019: "'", 0x201B: "'"} | dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
 
+class _Marks(dict):
+    """character -> null where it is a mark, else itself: a table for str.translate()."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = kept = None if unicodedata.category(chr(c))[0] == "M" else c
+        return kept
+
+
+_MARKS = _Marks()
+
+
 def remove_accents(text: str) -> str:
     """Lower case without marks, composed again."""
     if text.isascii():
         return text.lower()
-    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c)[0] != "M")
-    return unicodedata.normalize("NFC", bare)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.lower()).translate(_MARKS))
 
 
 def _lower(word: str) -> str:
@@ -102,9 +113,12 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> tuple[str, ...]:
         stems, bare = self.stems, remove_accents(chunk)
         word = bare.strip(".,;:!?")  # these join at most what is on both sides of them
-        words = [word] if word.isascii() and word.isalnum() else tokenize(bare)
-        found = (stems[w] for w in words if len(w) <= 16 or len(w.encode()) <= MAX_BYTES)
-        out = tuple(s for s in found if s)
+        if word.isascii() and word.isalnum():  # nearly every one
+            s = "" if len(word) > MAX_BYTES else stems[word] if stems.stem else word
+            out = (s,) if s else ()
+        else:
+            found = (stems[w] for w in tokenize(bare) if len(w) <= 16 or len(w.encode()) <= MAX_BYTES)
+            out = tuple(s for s in found if s)
         if len(chunk) <= 48:
             if len(self) >= 200_000:
                 self.clear()
@@ -114,17 +128,12 @@ class _Chunks(dict):
 
 def terms(text: str | None, language: str | None = None) -> list[str]:
     """The index terms of a text: words of at most 64 bytes, stemmed."""
-    chunks = _Chunks(language)
-    return [s for c in (text or "").split() for s in chunks[c]]
+    return list(chain.from_iterable(map(_Chunks(language).__getitem__, (text or "").split())))
 
 
 def term_counts(text: str | None, language: str | None = None) -> dict[str, int]:
     """How often a text has each of its terms."""
-    chunks, out = _Chunks(language), {}
-    for c, n in Counter((text or "").split()).items():
-        for s in chunks[c]:
-            out[s] = out.get(s, 0) + n
-    return out
+    return Counter(chain.from_iterable(map(_Chunks(language).__getitem__, (text or "").split())))
 
 
 def partial_stem(word: str, language: str | None = None) -> str:

@@ -93,3 +93,10 @@ def test_terms_are_counted_without_bringing_documents_together(spark, tmp_path):
     twice = spark.read.parquet(f"{tmp_path}/documents.parquet")
     twice.unionByName(twice).write.parquet(f"{tmp_path}/twice/documents.parquet")
     assert sorted(map(tuple, registry.queries()["index_terms"](spark, f"{tmp_path}/twice").collect())) == [("a", "mole", 1, 2), ("a", "quay", 2, 6), ("b", "mole", 1, 2)]
+
+
+def test_words_without_a_stemmer_are_not_remembered_twice():
+    A._Chunks.cache_clear()
+    A._Stems.cache_clear()
+    assert A.term_counts("Quay, quay mole " + "x" * 65) == {"quay": 2, "mole": 1} and not A._Stems(None)
+    assert A.terms("Running runs", "en") == ["run", "run"] and A._Stems("en") == {"running": "run", "runs": "run"}
