@@ -1,3 +1,4 @@
+import lzma
 import struct
 
 import pytest
@@ -108,3 +109,11 @@ def test_pushed_filters(spark, tmp_path):
     from pyspark.sql.datasource import EqualTo
 
     assert list(r.pushFilters([EqualTo(("ns",), "M")])) == [] and [(p.lo, p.hi) for p in r.partitions()] == [(4, 5)]
+
+
+def test_xz_clusters_are_read_with_little_memory():
+    text = b"quay mole pier " * 1000
+    a = zim.Archive(writing.archive([("C", "p", "", text)], writing.XZ))
+    start, end = a.pointers(a.header.cluster_ptr, 0, 1)[0], a.header.checksum_ptr
+    assert a.cluster(0) == [text]
+    assert lzma.LZMADecompressor(memlimit=4 << 20).decompress(a.source.read(start + 1, end - start - 1)).endswith(text)
